@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the contracts: a space and \x09-\x0D. bytes.split() takes the same.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,3 +79,25 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     flat, of = pc.list_flatten(parts), pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
     there = pc.not_equal(pc.binary_length(flat), 0)
     return of[there.to_numpy(zero_copy_only=False)], flat.filter(there)
+
+
+def slices(batch: pa.RecordBatch, column: int = 1, limit: int = 6 << 20):
+    """The batch in slices of at most `limit` bytes of text (a longer text is a slice of its own)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < len(batch):
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + limit, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def sums(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Sum of values by index, as doubles."""
+    return np.bincount(of, values, n)
+
+
+def kept_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id (null included) is in keys (doc_id)."""
+    keys = keys.select(F.col("doc_id").alias("_kept_id"))
+    return docs.join(keys, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
