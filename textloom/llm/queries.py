@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
 from .exact_dedup import exact_dedup
+from .lm import lm_scores
 from .mixing import mix
 from .quality import quality_scores
 from .simhash import simhash_dedup
@@ -38,6 +39,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
     "op7_quality_classifier": op7_quality_classifier,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_bpe": op10_bpe,
 }
 
