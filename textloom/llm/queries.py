@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .line_crf import quality_rules
 from .lm import lm_scores
 from .mixing import mix
+from .pii import find_pii
 from .quality import quality_scores
 from .simhash import simhash_dedup
 from .token_files import token_files
@@ -44,6 +45,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_pii": op8_pii,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_bpe": op10_bpe,
 }
