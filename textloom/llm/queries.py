@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .line_crf import quality_rules
 from .lm import lm_scores
 from .mixing import mix
+from .passages import shared_passages
 from .pii import find_pii
 from .quality import quality_scores
 from .simhash import simhash_dedup
@@ -33,6 +34,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
     "op7_quality_classifier": op7_quality_classifier,
