@@ -18,21 +18,29 @@ from .units import Encoded, units_of
 #: Words of more bytes contract every place of their lowest pair at once; the others one place a round.
 LONG = 200
 
-#: One round over rows (word, place, token): join each pair with the merge table, contract each word's leftmost pair
-#: of minimum rank; words without a pair leave. best: rank and place in one number.
+#: One round over rows (word, place, token, the token after it, and their rank in the merge table): each word's leftmost
+#: pair of minimum rank becomes one token, and only the two pairs that this changes are looked up again. Words without
+#: a pair leave. key: rank and place in one number.
 ONE_PAIR = """
-WITH RECURSIVE step(round, word, place, token) AS (
-    SELECT 0, word, place, token FROM first_tokens WHERE NOT long
+WITH RECURSIVE step(round, word, place, token, next_place, next_token, rank) AS (
+    SELECT 0, word, place, token, next_place, next_token, rank
+    FROM first_tokens LEFT JOIN merges ON token = l AND next_token = r WHERE NOT long
   UNION ALL
-    SELECT round + 1, word, place, CASE WHEN place = best & 1099511627775 THEN (best >> 40)::INTEGER ELSE token END
-    FROM (
-        SELECT round, p.word, place, token, before, before_word, min((rank::BIGINT << 40) + place) OVER (PARTITION BY p.word) AS best
-        FROM (SELECT *, lead(token) OVER o AS next_token, lead(word) OVER o AS next_word, lag(place) OVER o AS before, lag(word) OVER o AS before_word
-              FROM step WINDOW o AS (ORDER BY place)) p
-        LEFT JOIN merges ON word = next_word AND token = l AND next_token = r)
-    WHERE best IS NOT NULL AND NOT coalesce(before_word = word AND before = best & 1099511627775, false))
-SELECT word, list(token ORDER BY place) AS ids, list(piece ORDER BY place) AS pieces
-FROM (SELECT word, place, token FROM step QUALIFY round = max(round) OVER (PARTITION BY word)) JOIN pieces USING (token)
+    SELECT s.round + 1, s.word, s.place,
+           CASE WHEN s.place = b.place THEN b.rank ELSE s.token END,
+           CASE WHEN s.place = b.place THEN b.after_place ELSE s.next_place END,
+           CASE WHEN s.place = b.place THEN b.after_token WHEN s.next_place = b.place THEN b.rank ELSE s.next_token END,
+           CASE WHEN s.place = b.place THEN b.after_rank WHEN s.next_place = b.place THEN m.rank ELSE s.rank END
+    FROM step s
+    JOIN (SELECT g.word, g.rank, g.place, g.next_place, a.next_place AS after_place, a.next_token AS after_token, m.rank AS after_rank
+          FROM (SELECT word, (min(key) >> 40)::INTEGER AS rank, min(key) & 1099511627775 AS place, arg_min(next_place, key) AS next_place
+                FROM (SELECT word, next_place, (rank::BIGINT << 40) + place AS key FROM step WHERE rank IS NOT NULL) GROUP BY word) g
+          JOIN step a ON a.place = g.next_place
+          LEFT JOIN merges m ON m.l = g.rank AND m.r = a.next_token) b ON s.word = b.word
+    LEFT JOIN merges m ON m.l = CASE WHEN s.next_place = b.place THEN s.token END AND m.r = b.rank
+    WHERE s.place <> b.next_place)
+SELECT word, string_agg(token, ' ' ORDER BY place) AS ids, string_agg(piece, '' ORDER BY place) AS pieces, count(*) AS n
+FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, round) JOIN pieces USING (token)
 GROUP BY word"""
 
 #: The same with all places of a word's lowest pair at once, each second one in a run of overlapping pairs. Nothing
@@ -52,8 +60,8 @@ WITH RECURSIVE step(round, word, place, token) AS (
                             LEFT JOIN merges ON word = next_word AND token = l AND next_token = r)
                       WHERE low IS NOT NULL)))
     WHERE NOT coalesce(eaten, false))
-SELECT word, list(token ORDER BY place) AS ids, list(piece ORDER BY place) AS pieces
-FROM (SELECT word, place, token FROM step QUALIFY round = max(round) OVER (PARTITION BY word)) JOIN pieces USING (token)
+SELECT word, string_agg(token, ' ' ORDER BY place) AS ids, string_agg(piece, '' ORDER BY place) AS pieces, count(*) AS n
+FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, round) JOIN pieces USING (token)
 GROUP BY word"""
 
 
@@ -64,18 +72,18 @@ class Bpe:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.known = regex.compile(pattern), Encoded(self.words, 400_000)
         rows = [(self.ranks[p[:i]], self.ranks[p[i:]], k) for p, k in self.ranks.items() for i in range(1, len(p)) if p[:i] in self.ranks and p[i:] in self.ranks]
         early = {t for a, b, k in rows for t in (a, b) if k <= t}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         l, r, rank = (pa.array(np.array(c, np.int32)) for c in zip(*rows))
         pairs = pa.table({"l": l, "r": r, "rank": rank, "alone": pa.array([k in early for *_, k in rows])})  # noqa: F841
-        spellings = pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "piece": pa.array(list(self.ranks), pa.binary())})  # noqa: F841
+        spellings = pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "piece": pa.array([p.hex() for p in self.ranks])})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM pairs")
         self.db.execute("CREATE TABLE pieces AS SELECT * FROM spellings")
 
-    def words(self, words: list[bytes]) -> list[tuple[list[int], bytes]]:
-        """ids and decoded bytes of each pre-token."""
+    def words(self, words: list[bytes]) -> list[tuple[bytes, bytes, int]]:
+        """Decimal ids, decoded bytes and number of ids of each pre-token."""
         out: list = [None] * len(words)
         spelled = []
         for i, w in enumerate(words):
@@ -83,17 +91,20 @@ class Bpe:
             if rank is None:
                 spelled.append(i)
             else:
-                out[i] = ([rank], w)
+                out[i] = (b"%d" % rank, w, 1)
         if spelled:
             lengths = np.array([len(words[i]) for i in spelled])
             data = np.frombuffer(b"".join(words[i] for i in spelled), np.uint8)
-            first_tokens = pa.table({"word": np.repeat(np.array(spelled, np.int32), lengths), "place": np.arange(len(data), dtype=np.int64), "token": self.bytes[data], "long": np.repeat(lengths > LONG, lengths)})
+            token, place, last = self.bytes[data], np.arange(len(data), dtype=np.int64), np.zeros(len(data), bool)
+            last[np.cumsum(lengths) - 1] = True
+            first_tokens = pa.table({"word": np.repeat(np.array(spelled, np.int32), lengths), "place": place, "token": token, "next_place": pa.array(place + 1, mask=last), "next_token": pa.array(np.append(token[1:], 0), mask=last), "long": np.repeat(lengths > LONG, lengths)})
             self.db.register("first_tokens", first_tokens)
             for query, there in ((ONE_PAIR, (lengths <= LONG).any()), (ALL_PAIRS, (lengths > LONG).any())):
                 if there:
                     got = self.db.sql(query).to_arrow_table()
-                    for w, ids, pieces in zip(*(c.to_pylist() for c in got.columns)):
-                        out[w] = (ids, b"".join(pieces))
+                    for w, ids, pieces, n in zip(*(c.to_pylist() for c in got.columns)):
+                        back = bytes.fromhex(pieces)
+                        out[w] = (ids.encode(), words[w] if back == words[w] else back, n)
             self.db.unregister("first_tokens")
         return out
 
@@ -101,7 +112,7 @@ class Bpe:
         """Decimal ids, decoded bytes and number of ids of each unit."""
         of = [[m.encode() for m in self.pattern.findall(u)] for u in units]
         words = list({w: None for x in of for w in x})
-        known = {w: (" ".join(map(str, ids)).encode(), back, len(ids)) for w, (ids, back) in zip(words, self.words(words))}
+        known = dict(zip(words, self.known.values(words)))
         return [known[x[0]] if len(x) == 1 else (b" ".join(known[w][0] for w in x), b"".join(known[w][1] for w in x), sum(known[w][2] for w in x)) for x in of]
 
 
