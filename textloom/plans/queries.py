@@ -331,3 +331,100 @@ def mendenhall_curve(spark, sf):
     SELECT round(sqrt(sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) + (CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END)) / 2), 6) AS distance FROM c""")
 def mendenhall_distance(spark, sf):
     return rounded(stylometry.mendenhall_distance(*_two(spark, sf)))
+
+
+from ..operators import cohesion, lexical, phonetics, style  # noqa: E402
+
+STOP = ["the", "of", "and", "to", "in", "is", "was", "for", "that", "by", "with", "on", "as", "at", "from", "this", "are", "he", "a", "be", "it", "de", "la", "le", "les", "et", "des", "en", "du", "un", "une", "der", "die", "das", "und", "el", "los", "que", "y", "er", "th", "st", "ou", "an", "re"]
+STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
+
+
+@query(f"""WITH {WORDS}, q AS (SELECT doc_id, word, count(*) AS f, min(pos) AS first, word IN ({STOP_SQL}) AS stop FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY f DESC, first) AS r, row_number() OVER (PARTITION BY doc_id ORDER BY stop, f DESC, first) AS own, count(*) OVER (PARTITION BY doc_id) AS v, max(f) OVER (PARTITION BY doc_id) AS f1 FROM q),
+    g AS (SELECT doc_id, sum(f)::DOUBLE AS n, any_value(v) AS v, any_value(f1) AS f1, coalesce(sum(f) FILTER (NOT stop AND own <= 10), 0) AS top, coalesce(sum(f) FILTER (stop), 0) AS water, least(10, any_value(v), any_value(f1)) AS m, coalesce(sum(abs(f * r - f1)) FILTER (r >= 2 AND r <= least(10, v, f1)), 0) AS off FROM r GROUP BY doc_id)
+    SELECT doc_id, round(sqrt(f1), 6) AS classic_nausea, round(100 * top / n, 6) AS academic_nausea, round(100 * water / n, 6) AS water, round(100 * (n - v) / n, 6) AS spam, CASE WHEN m < 2 THEN 'nan'::DOUBLE ELSE round(greatest(0, 100 * (f1 * (m - 1) - off) / (f1 * (m - 1))), 6) END AS zipf_naturalness FROM g""")
+def style_stats(spark, sf):
+    return rounded(style.style_stats(words(docs(spark, sf)), STOP))
+
+
+@query(f"""WITH {WORDS}, n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id), g AS (SELECT doc_id, word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM w)
+    SELECT n.doc_id, k.keyword, round(100 * coalesce((SELECT count(*) FROM g WHERE g.doc_id = n.doc_id AND (k.keyword = g.word OR k.keyword = concat(g.word, ' ', g.nx))), 0) / n.n, 6) AS density FROM n CROSS JOIN (VALUES ('that'), ('of the')) k(keyword)""")
+def keyword_density(spark, sf):
+    return rounded(style.keyword_density(words(docs(spark, sf)), ["that", "of the"]))
+
+
+@query(f"""WITH {WORDS}, g AS (SELECT doc_id, pos, CASE WHEN word = 'of' AND lead(word) OVER x = 'the' AND lead(word, 2) OVER x = 'and' THEN 3 WHEN word = 'of' AND lead(word) OVER x = 'the' THEN 2 WHEN word = 'and' AND lead(word) OVER x = 'the' THEN 2 END AS len FROM w WINDOW x AS (PARTITION BY doc_id ORDER BY pos)),
+    h AS (SELECT *, pos >= coalesce(lag(pos + len) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS ok FROM g WHERE len IS NOT NULL)
+    SELECT doc_id, round(100 * coalesce(c, 0) / n, 6) AS phrases FROM (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id) LEFT JOIN (SELECT doc_id, count(*) FILTER (ok) AS c FROM h GROUP BY doc_id) USING (doc_id)""")
+def phrase_density(spark, sf):
+    phrases = spark.createDataFrame([("of the",), ("of the and",), ("and the",)], "phrase string")
+    return rounded(style.phrase_density(words(docs(spark, sf)), phrases))
+
+
+_V, _S, _D, _T = phonetics.VOWELS, phonetics.SONORANTS, phonetics.VOICED, phonetics.VOICELESS
+
+
+def _n(chars: str, at_least: int = 1) -> str:
+    return f"len(regexp_extract_all(word, '[{chars}]{{{at_least},}}'))" if at_least > 1 else f"len(regexp_extract_all(word, '[{chars}]'))"
+
+
+@query(f"""WITH {WORDS}, x AS (SELECT doc_id, {_n(_V)} AS v, {_n(_S)} AS s, {_n(_D)} AS d, {_n(_T)} AS t, len(regexp_extract_all(word, '[{_S}{_D}{_T}]+')) AS k, len(regexp_extract_all(word, '[{_S}{_D}{_T}]{{3,}}')) AS heavy, {_n(_V, 2)} AS h,
+        regexp_replace(regexp_replace(regexp_replace(word, '[{_V}]', chr(1), 'g'), '[{_S}{_D}{_T}]', chr(2), 'g'), '[^\\x01\\x02]', '', 'g') AS cv FROM w),
+    c AS (SELECT doc_id, cv, count(*)::DOUBLE AS f, sum(v) AS v, sum(s) AS s, sum(d) AS d, sum(t) AS t, sum(k) AS k, sum(heavy) AS heavy, sum(h) AS h FROM x GROUP BY ALL),
+    g AS (SELECT doc_id, sum(f) AS f, sum(v) AS v, sum(s) AS s, sum(d) AS d, sum(t) AS t, sum(k) AS k, sum(heavy) AS heavy, sum(h) AS h, sum(f * log2(f)) AS fl, sum(v + s + d + t) AS a FROM c GROUP BY doc_id)
+    SELECT doc_id, round(v / a, 6) AS p_vowels, round(s / a, 6) AS p_sonorants, round(d / a, 6) AS p_voiced, round(t / a, 6) AS p_voiceless, round(CASE WHEN v > 0 THEN (s + d + t) / v ELSE 'nan' END, 6) AS consonant_vowel_ratio, round(heavy / k, 6) AS p_heavy_clusters, round(h / f, 6) AS p_hiatus, round(log2(f) - fl / f, 6) AS cv_entropy, round(t / (v + s), 6) AS hardness FROM g""")
+def phonetics_stats(spark, sf):
+    return rounded(phonetics.phon_stats(words(docs(spark, sf))))
+
+
+def _repetition_sql(sounds: str) -> str:
+    return f"""WITH {WORDS}, n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id), h AS (SELECT doc_id, pos, unnest(list_distinct(regexp_extract_all(word, '[{sounds}]'))) AS sound FROM w),
+    s AS (SELECT doc_id, sound, unnest(range(greatest(pos - 2, 0), least(pos, n - 3) + 1)) AS st FROM h JOIN n USING (doc_id)), o AS (SELECT doc_id, sound, count(*) AS seen FROM (SELECT doc_id, sound, st FROM s GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL),
+    c AS (SELECT doc_id, sound, count(*)::DOUBLE AS c, any_value(n)::DOUBLE AS n FROM h JOIN n USING (doc_id) GROUP BY ALL),
+    e AS (SELECT doc_id, coalesce(seen, 0) AS seen, CASE WHEN n >= 3 THEN (n - 2) * (1 - (greatest(n - c, 0) * greatest(n - c - 1, 0) * greatest(n - c - 2, 0) / 6 + c * greatest(n - c, 0) * greatest(n - c - 1, 0) / 2) / (n * (n - 1) * (n - 2) / 6)) END AS expected FROM c LEFT JOIN o USING (doc_id, sound))
+    SELECT doc_id, round(coalesce(CASE WHEN sum(expected) > 0 THEN sum(seen) / sum(expected) END, 'nan'), 5) AS repetition_index FROM e GROUP BY doc_id"""
+
+
+@query(_repetition_sql(_S + _D + _T))
+def alliteration(spark, sf):
+    return rounded(phonetics.repetition_index(words(docs(spark, sf)), _S + _D + _T), 5)
+
+
+@query(_repetition_sql(_V))
+def assonance(spark, sf):
+    return rounded(phonetics.repetition_index(words(docs(spark, sf)), _V), 5)
+
+
+SETS = rf"""p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?…]["''»”’)\]]*)\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')) AS ss FROM documents),
+    s AS (SELECT doc_id, generate_subscripts(ss, 1) - 1 AS sent_id, unnest(ss) AS sentence FROM p),
+    t AS (SELECT doc_id, sent_id, list_distinct(list_filter(list_transform(list_filter(regexp_extract_all(sentence, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_\p{{M}}\x{{AD}}\x{{200C}}\x{{200D}}]*'), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')), lambda x: lower(x)), lambda x: x NOT IN ({STOP_SQL}))) AS items FROM s)"""
+
+
+@query(f"""WITH {SETS}, l AS (SELECT *, lag(items) OVER (PARTITION BY doc_id ORDER BY sent_id) AS b FROM t), a AS (SELECT doc_id, count(*) AS n, avg(list_has_any(items, b)::INT) FILTER (b IS NOT NULL) AS x, avg(CASE WHEN len(items) + len(b) > 0 THEN 2 * len(list_intersect(items, b)) / (len(items) + len(b)) ELSE 0 END) FILTER (b IS NOT NULL) AS y FROM l GROUP BY doc_id),
+    f AS (SELECT doc_id, sent_id, len(items) AS k, unnest(items) AS item FROM t), j AS (SELECT a.doc_id, a.sent_id AS i, b.sent_id AS j, count(*) AS m, max(a.k + b.k) AS k FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.item = b.item AND a.sent_id < b.sent_id GROUP BY ALL), g AS (SELECT doc_id, count(*) AS c, sum(2 * m / k) AS d FROM j GROUP BY doc_id)
+    SELECT doc_id, n AS n_sents, round(coalesce(x, 'nan'), 6) AS overlap_adjacent, round(CASE WHEN n >= 2 THEN coalesce(c, 0) / (n * (n - 1) / 2) ELSE 'nan' END, 6) AS overlap_all, round(coalesce(y, 'nan'), 6) AS overlap_prop_adjacent, round(CASE WHEN n >= 2 THEN coalesce(d, 0) / (n * (n - 1) / 2) ELSE 'nan' END, 6) AS overlap_prop_all FROM a LEFT JOIN g USING (doc_id)""")
+def cohesion_overlaps(spark, sf):
+    return rounded(cohesion.overlaps(cohesion.sentence_sets(docs(spark, sf), STOP)))
+
+
+@query(f"""WITH {SETS}, l AS (SELECT doc_id, items, lead(items) OVER x AS a, lead(items, 2) OVER x AS b FROM t WINDOW x AS (PARTITION BY doc_id ORDER BY sent_id)), g AS (SELECT doc_id, sum(len(list_intersect(items, list_concat(a, b)))) AS x, sum(len(items)) AS y FROM l WHERE b IS NOT NULL GROUP BY doc_id)
+    SELECT doc_id, round(CASE WHEN y > 0 THEN x / y ELSE 'nan' END, 6) AS overlap_2_sent FROM (SELECT DISTINCT doc_id FROM t) LEFT JOIN g USING (doc_id)""")
+def cohesion_forward(spark, sf):
+    return rounded(cohesion.forward_overlap(cohesion.sentence_sets(docs(spark, sf), STOP), 2, "overlap_2_sent"))
+
+
+@query(f"WITH {WORDS} SELECT doc_id, round(avg((rn > 1)::INT), 6) AS p_given FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, word ORDER BY pos) AS rn FROM w) GROUP BY doc_id")
+def cohesion_given(spark, sf):
+    return rounded(cohesion.p_given(words(docs(spark, sf))))
+
+
+@query(f"""WITH {WORDS}, t AS (SELECT count(*)::DOUBLE AS n FROM w), a AS (SELECT word, count(*) AS f, count(DISTINCT source) AS range FROM w GROUP BY word), b AS (SELECT word, f * 1e6 / n AS ipm, range, row_number() OVER (ORDER BY f DESC, word) AS rank FROM a, t QUALIFY f >= 5),
+    q AS (SELECT doc_id, word, count(*) AS f FROM w GROUP BY ALL), x AS (SELECT * FROM (SELECT doc_id, word, f FROM q) LEFT JOIN b USING (word)), n AS (SELECT doc_id, sum(f)::DOUBLE AS n FROM q GROUP BY doc_id)
+    SELECT doc_id, any_value(n)::BIGINT AS n_words, round(coalesce(sum(f) FILTER (ipm IS NOT NULL), 0) / any_value(n), 6) AS coverage, round(coalesce(sum(f * ipm) / sum(f) FILTER (ipm IS NOT NULL), 'nan'), 5) AS mean_ipm, round(coalesce(sum(f * log10(ipm)) / sum(f) FILTER (ipm IS NOT NULL), 'nan'), 6) AS mean_log_ipm,
+        round(coalesce(sum(f * range) / sum(f) FILTER (ipm IS NOT NULL), 'nan'), 6) AS mean_range, round(sum(f * -log2(greatest(coalesce(ipm, 0), 0.5) / 1e6)) / any_value(n), 6) AS surprisal, round(coalesce(sum(f) FILTER (rank <= 1000), 0) / any_value(n), 6) AS p_top1000, round(coalesce(sum(f) FILTER (rank <= 5000), 0) / any_value(n), 6) AS p_top5000
+    FROM x JOIN n USING (doc_id) GROUP BY doc_id""")
+def lexical_stats(spark, sf):
+    w = tagged(spark, sf, "source")
+    d = lexical.dictionary_of(w).where(F.col("ipm") * w.count() / 1e6 >= 4.5)
+    out = lexical.lexical_stats(words(docs(spark, sf)), d)
+    out = out.select("doc_id", "n_words", "coverage", F.round("mean_ipm", 5).alias("mean_ipm"), "mean_log_ipm", "mean_range", "surprisal", "p_top1000", "p_top5000")
+    return rounded(out)
