@@ -428,3 +428,50 @@ def lexical_stats(spark, sf):
     out = lexical.lexical_stats(words(docs(spark, sf)), d)
     out = out.select("doc_id", "n_words", "coverage", F.round("mean_ipm", 5).alias("mean_ipm"), "mean_log_ipm", "mean_range", "surprisal", "p_top1000", "p_top5000")
     return rounded(out)
+
+
+from ..operators import assembly, compare  # noqa: E402
+
+
+@query(rf"""WITH {SETS}, l AS (SELECT doc_id, sent_id, len(list_filter(regexp_extract_all(sentence, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_\p{{M}}]*'), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]'))) AS n FROM s), x AS (SELECT doc_id, sent_id, n, n - avg(n) OVER (PARTITION BY doc_id) AS x FROM l), y AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY sent_id) AS y FROM x)
+    SELECT doc_id, round(avg(n), 6) AS mean, round(coalesce(stddev_samp(n), 'nan'), 6) AS std, round(coalesce(stddev_samp(n) / avg(n), 'nan'), 6) AS cv, round(CASE WHEN sum(x * x) > 1e-12 THEN coalesce(sum(x * y) / sum(x * x), 'nan') ELSE 'nan' END, 6) AS autocorr FROM y GROUP BY doc_id""")
+def sentence_rhythm(spark, sf):
+    return rounded(compare.sentence_rhythm(compare.sentence_lengths(docs(spark, sf))))
+
+
+def _features(spark, sf):
+    w = tagged(spark, sf, "lang").where("lang IN ('en', 'fr')")
+    lengths = w.groupBy("doc_id", "lang").agg(F.count(F.lit(1)).cast("double").alias("n_words"), F.avg(F.length("word")).alias("word_len"), F.countDistinct("word").cast("double").alias("n_types"))
+    return compare.unpivot(lengths, "lang", ["n_words", "word_len", "n_types"])
+
+
+@query(f"""WITH {WORDS}, d AS (SELECT doc_id, lang, count(*)::DOUBLE AS n_words, avg(length(word)) AS word_len, count(DISTINCT word)::DOUBLE AS n_types FROM w WHERE lang IN ('en', 'fr') GROUP BY ALL), v AS (UNPIVOT d ON n_words, word_len, n_types INTO NAME feature VALUE value),
+    m AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS mid FROM v),
+    g AS (SELECT feature, count(*) FILTER (lang = 'en')::DOUBLE AS n, count(*) FILTER (lang = 'fr')::DOUBLE AS m, avg(value) FILTER (lang = 'en') AS ma, avg(value) FILTER (lang = 'fr') AS mb, median(value) FILTER (lang = 'en') AS da, median(value) FILTER (lang = 'fr') AS db, var_samp(value) FILTER (lang = 'en') AS va, var_samp(value) FILTER (lang = 'fr') AS vb, sum(mid) FILTER (lang = 'en') AS ra FROM m GROUP BY feature)
+    SELECT feature, n::BIGINT AS n_a, m::BIGINT AS n_b, round(ma, 5) AS mean_a, round(mb, 5) AS mean_b, round(da, 5) AS median_a, round(db, 5) AS median_b, round((ma - mb) / sqrt(((n - 1) * va + (m - 1) * vb) / (n + m - 2)), 5) AS cohen_d, round(2 * (ra - n * (n + 1) / 2) / (n * m) - 1, 5) AS cliff_delta FROM g""")
+def corpus_comparison(spark, sf):
+    e = compare.effect_sizes(_features(spark, sf), "en", "fr")
+    return rounded(e.select("feature", "n_a", "n_b", "mean_a", "mean_b", "median_a", "median_b", "cohen_d", "cliff_delta"), 5)
+
+
+@query()
+def corpus_comparison_bootstrap(spark, sf):
+    return rounded(compare.compare_features(_features(spark, sf), ("en", "fr"), 200))
+
+
+@query(f"WITH {WORDS} SELECT doc_id, pos AS n, 0::BIGINT AS v FROM w WHERE false UNION ALL SELECT doc_id, pos + 1, (sum((rn = 1)::INT) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, word ORDER BY pos) AS rn FROM w)")
+def vocabulary_growth(spark, sf):
+    return rounded(diversity.growth(words(docs(spark, sf))))
+
+
+@query(r"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS part FROM documents)
+    SELECT doc_id, part, CASE WHEN regexp_matches(line, '[\p{L}\p{N}]') THEN len(list_filter(regexp_extract_all(line, '[\p{L}\p{N}_][\p{L}\p{N}_\p{M}]*'), lambda x: regexp_matches(x, '[\p{L}\p{N}]'))) END AS n_words FROM x""")
+def stats_by_lines(spark, sf):
+    return rounded(assembly.by_parts(docs(spark, sf), basic.basic_stats, "lines").select("doc_id", "part", "n_words"))
+
+
+@query(f"""WITH {WORDS}, b AS (SELECT 2 AS n, word || '_' || lead(word) OVER x AS ngram FROM w WINDOW x AS (PARTITION BY doc_id ORDER BY pos)), c AS (SELECT n, ngram, count(*) AS f FROM b WHERE ngram LIKE 'that\\_%' ESCAPE '\\' GROUP BY ALL ORDER BY f DESC, ngram LIMIT 8),
+    d AS (SELECT 3 AS n, word || '_' || lead(word) OVER x || '_' || lead(word, 2) OVER x AS ngram, word || '_' || lead(word) OVER x AS p FROM w WINDOW x AS (PARTITION BY doc_id ORDER BY pos)), e AS (SELECT n, ngram, count(*) AS f FROM d WHERE p IN (SELECT ngram FROM c) AND ngram IS NOT NULL GROUP BY ALL ORDER BY f DESC, ngram LIMIT 8)
+    SELECT n::BIGINT AS n, ngram, f FROM c UNION ALL SELECT n::BIGINT, ngram, f FROM e""")
+def word_tree(spark, sf):
+    return rounded(assembly.word_tree(words(docs(spark, sf)), "that", 3))
