@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import as_sentences, as_words, significant
 
@@ -40,7 +41,7 @@ def effect_sizes(values: DataFrame, a: str = "A", b: str = "B", by: str = "featu
     return g.select(by, "n_a", "n_b", "mean_a", "mean_b", "median_a", "median_b", d.alias("cohen_d"), F.when(enough, 2 * F.try_divide(u, n * m) - 1).otherwise(NAN).alias("cliff_delta"), u.alias("u"), z.alias("z"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x == x else NAN)
 

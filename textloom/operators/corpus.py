@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import significant
 from .words import frequencies, ngrams
@@ -67,7 +68,7 @@ def keyness_odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
 KEYNESS = {"log_likelihood": keyness_log_likelihood, "chi2": keyness_chi2, "diff": keyness_diff, "log_ratio": keyness_log_ratio, "bic": keyness_bic, "ell": keyness_ell, "odds_ratio": keyness_odds_ratio}
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_value(g2: pd.Series) -> pd.Series:
     """Survival of chi-squared with one degree of freedom (the JVM has no erfc)."""
     return g2.map(lambda x: math.erfc(math.sqrt(abs(x) / 2)) if x == x else NAN)

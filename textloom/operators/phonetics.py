@@ -44,7 +44,8 @@ def phon_stats(ws: DataFrame, vowels: str = VOWELS, sonorants: str = SONORANTS,
 def repetition_index(ws: DataFrame, sounds: str, window: int = 3, by: str = "doc_id") -> DataFrame:
     """Windows of words in which two or more have a sound, over what the sound's number of words makes likely."""
     n = F.count(F.lit(1)).over(W.partitionBy(by))
-    has = ws.select(by, "pos", n.alias("n"), F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(f"[{sounds}]"), F.lit(0)))).alias("sound"))
+    sized = ws.select(by, "pos", "word", n.alias("n"))  # before the explode, which would change the count
+    has = sized.select(by, "pos", "n", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(f"[{sounds}]"), F.lit(0)))).alias("sound"))
     # place by place only where a sound occurs; the windows with two or more are unions of short intervals
     w = W.partitionBy(by, "sound").orderBy("pos")
     pairs = has.select(by, "sound", "n", "pos", F.lead("pos").over(w).alias("next"), F.lag("pos").over(w).alias("prev"))
