@@ -215,8 +215,9 @@ def update_index(keys: DataFrame, inserts: DataFrame, deletes: DataFrame, bucket
                     index.insert(digest, (doc, held[1]))
         return pd.DataFrame({"digest": list(index.keys), "doc_id": [v[0] for v in index.keys.values()], "content": [v[1] for v in index.keys.values()]})
 
-    live = keys.select(bucket, "digest", "doc_id", "content")
-    changes = gone.unionByName(new).select(bucket, "digest", "doc_id", "content", "what")
+    own = [F.col(c).alias(c) for c in ("digest", "doc_id", "content")]  # new names, as both sides come from keys
+    live = keys.select(bucket, *own)
+    changes = gone.unionByName(new).select(bucket, *own, "what")
     return live.groupBy("bucket").cogroup(changes.groupBy("bucket")).applyInPandas(apply, "digest binary, doc_id long, content binary")
 
 
