@@ -38,7 +38,19 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    """documents; a table of fewer splits than cores (one small file) is spread, so that row-wise work isn't one task.
+    At scale the scan has more splits than cores, and nothing is shuffled."""
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = sum(_sizes(spark, f"{sf}/documents.parquet"))
+    return df.repartition(cores) if size < cores << 22 else df
+
+
+def _sizes(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    while found.hasNext():
+        yield found.next().getLen()
 
 
 def tagged(spark: SparkSession, sf: str, column: str) -> DataFrame:
