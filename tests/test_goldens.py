@@ -200,3 +200,32 @@ def test_parts_and_windows(spark):
 def test_words_options(spark):
     docs = texts(spark, "The 3 cats and the 1,000 dogs", None)
     assert [r.word for r in words(docs, filter_numbers=True, stop_words=["the"], min_len=4).orderBy("pos").collect()] == ["cats", "dogs"]
+
+
+def test_ordination_and_report(spark):
+    from textloom.operators import ordination
+    from textloom.plans.report import highlighted, report
+
+    d = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 4.0), ("b", "c", 3.0)], "text_a string, text_b string, distance double")
+    x = {r.text: r.x1 for r in ordination.mds(d, 1).collect()}
+    assert abs(x["a"] - x["c"]) == pytest.approx(4)
+    names, merges = ordination.linkage(d, "single")
+    assert names == ["a", "b", "c"] and [(m[2], m[3]) for m in merges] == [(1.0, 2), (3.0, 3)]
+    assert highlighted("a <b> c", [(2, 5, "x")]) == 'a <mark title="x">&lt;b&gt;</mark> c'
+    page = report(texts(spark, CAT), 0)
+    assert "<mark" in page and "flesch_reading_easy" in page
+
+
+def test_spans_and_segments(spark):
+    docs = texts(spark, CAT)
+    got = assembly.complex_words(docs).collect()
+    assert [(r.start, r.end, r.note) for r in got] == [(26, 35, "beautiful")]
+    h = spark.createDataFrame([(1, 0, 4, "x"), (1, 2, 6, "y")], "doc_id long, start int, end int, layer string")
+    assert [(r.start, r.end, r.layers) for r in assembly.elementary_segments(h).orderBy("start").collect()] == [(0, 2, ["x"]), (2, 4, ["x", "y"]), (4, 6, ["y"])]
+    assert assembly.fingerprint(listed(spark, [f"w{i % 7}" for i in range(25)]), 10).orderBy("window").count() == 16
+
+
+def test_rolling_delta(spark):
+    w = lambda t, n: spark.createDataFrame([(t, i, f"w{(i * i) % n}") for i in range(60)], "text string, pos int, word string")
+    got = stylometry.rolling_delta(w("A", 7).union(w("B", 11)), w("T", 7), 20, 10, 5).collect()
+    assert len(got) == 10 and {r.middle for r in got} == {10, 20, 30, 40, 50}
