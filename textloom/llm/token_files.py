@@ -129,13 +129,51 @@ class Reader:
                 start += n
 
 
-def unit_encoder(path: str):
-    """units -> ids (uint32, as bytes) by the tokenizers library."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+#: Marks that end a word without being part of a match with letters; no apostrophe, as contractions have one.
+MARKS = ".,;:!?*%&$#|)"
+NEW_LINE = "\n"
 
-    tokenizer = Tokenizer.from_file(path)
-    return lambda units: [np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+
+class UnitEncoder:
+    """units -> ids (uint32, as bytes) by the tokenizers library.
+
+    A word and the marks after it are separate matches of the pattern, so stems are encoded once for all their marks.
+    Plain units go in lines of many, since a call for each costs more than its ids; a new line between two is a match,
+    and an id, of its own.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        line = self.tokenizer.encode(NEW_LINE, add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+        self.stems = Encoded(self.direct, 450_000)
+
+    def __call__(self, units: list[str]) -> list[bytes]:
+        parts = []
+        for u in units:
+            stem = u.rstrip(MARKS)
+            parts.append((stem, u[len(stem) :]) if len(stem) < len(u) and stem[1:].isalpha() and (stem[0] == " " or stem[0].isalpha()) else (u, ""))
+        pieces = list({p: None for x in parts for p in x if p})
+        known = dict(zip(pieces, self.stems.values(pieces))) | {"": b""}
+        return [known[a] + known[b] if b else known[a] for a, b in parts]
+
+    def direct(self, units: list[str]) -> list[bytes]:
+        out: list = [None] * len(units)
+        lines = [i for i, u in enumerate(units) if self.line is not None and u.isprintable() and " " not in u[1:] and u[:2].strip()]
+        groups = [lines[at : at + 50] for at in range(0, len(lines), 50)]
+        for own, e in zip(groups, self.tokenizer.encode_batch_fast([NEW_LINE.join([units[i] for i in own]) for own in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.line)
+            if len(cuts) == len(own) - 1:
+                for i, a, z in zip(own, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
+                    out[i] = ids[a:z].tobytes()
+        rest = [i for i, v in enumerate(out) if v is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False)):
+            out[i] = np.array(e.ids, np.uint32).tobytes()
+        return out
 
 
 _workers: dict[str, Encoded] = {}
@@ -144,7 +182,7 @@ _workers: dict[str, Encoded] = {}
 def _writing(path: str, folder: str, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _workers:
-            _workers[path] = Encoded(unit_encoder(path), most=500_000)
+            _workers[path] = Encoded(UnitEncoder(path), most=250_000)
         known, shard, out = _workers[path], TaskContext.get().partitionId(), None
         name = f"shard-{shard:06d}.ids"
         end = np.uint32(end_id).tobytes()
