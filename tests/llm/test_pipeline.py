@@ -4,6 +4,7 @@ import corpus_pipeline
 from textloom.llm.bpe import bpe_digests
 from textloom.llm.exact_dedup import exact_dedup
 from textloom.llm.quality import quality_scores
+from textloom.llm.shared import written
 from textloom.llm.simhash import simhash_dedup
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SF)
+        out = written(stage(spark, docs, SF), name)
         assert out.columns == docs.columns
         if name == "quality":
             want = [r.doc_id for r in quality_scores(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1").collect()]
