@@ -194,11 +194,12 @@ def _writing(path: str, folder: str, end_id: int, kind: str):
                 sizes = np.array([len(v) // 4 for v in values], np.int64)
                 ends = np.cumsum(counts)
                 codes = np.insert(codes, ends, len(values) - 1)  # the end id after each document
-                ids = np.empty(len(values), object)
-                ids[:] = values
-                total = np.append(0, np.cumsum(sizes[codes]))
+                own = sizes[codes]
+                total = np.append(0, np.cumsum(own))
+                place = np.repeat((np.cumsum(sizes) - sizes)[codes] - total[:-1], own) + np.arange(total[-1])
+                ids = np.frombuffer(b"".join(values), np.uint32)[place]
                 ends = ends + np.arange(1, len(ends) + 1)
-                out.add(batch.column(0).to_pylist(), np.diff(total[np.append(0, ends)]).tolist(), np.frombuffer(b"".join(ids[codes]), np.uint32))
+                out.add(batch.column(0).to_pylist(), np.diff(total[np.append(0, ends)]).tolist(), ids)
         if out:
             out.close()
             yield pa.record_batch([pa.array([shard]), pa.array([name]), pa.array([len(out.docs)]), pa.array([out.total])], names=["shard", "name", "n_docs", "n_ids"])
