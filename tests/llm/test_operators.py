@@ -187,6 +187,23 @@ def test_chains_take_ordered_matches():
     assert best == (0, 45, 5, 50)
 
 
+def passages_of(spark, docs):
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    return [(r.doc_id, r.other_id, r.start_word, r.end_word) for r in passages.shared_passages(df).collect()]
+
+
+def test_passages_behind_earlier_fragments(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"v{rng.randint(0, 5000)}" for _ in range(n)]
+    whole = words(80)
+    pieces = [words(30) + whole[:40] + words(30), words(20) + whole[40:] + words(40)]
+    both = [words(25) + whole + words(30), words(60) + whole + words(5)]
+    assert passages_of(spark, pieces + both) == [(3, 2, 60, 140)]
+    # more fragments than a holder has partners, also between the two whole copies
+    got = passages_of(spark, [*(words(9) + p[20:70] + words(9) for p in pieces * 9), both[0], *(words(9) + p[20:70] + words(9) for p in pieces * 9), both[1]])
+    assert (37, 18, 60, 140) in got
+
+
 # 5
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_token_files(odd, none, tmp_path, kind):
