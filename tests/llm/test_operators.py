@@ -204,6 +204,18 @@ def test_passages_behind_earlier_fragments(spark):
     assert (37, 18, 60, 140) in got
 
 
+@pytest.mark.parametrize("every", [25, 10, 8, 6, 5])
+def test_fuzzy_passages_of_every_similarity(spark, every):
+    rng = random.Random(every)
+    words = lambda n: [f"v{rng.randint(0, 50000)}" for _ in range(n)]
+    docs = []
+    for size in (50, 60, 100) * 4:
+        shared = words(size)
+        docs += [words(40) + shared + words(30), words(20) + [w if i % every else "changed" for i, w in enumerate(shared, 1)] + words(50)]
+    got = passages_of(spark, docs)
+    assert {r[:2] for r in got} == {(i + 1, i) for i in range(0, len(docs), 2)}
+
+
 # 5
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_token_files(odd, none, tmp_path, kind):
