@@ -216,6 +216,23 @@ def test_fuzzy_passages_of_every_similarity(spark, every):
     assert {r[:2] for r in got} == {(i + 1, i) for i in range(0, len(docs), 2)}
 
 
+def test_every_passage_of_two_documents(spark):
+    rng = random.Random(9)
+    words = lambda n: [f"v{rng.randint(0, 50000)}" for _ in range(n)]
+    one, two, long = words(60), words(60), words(300)
+    docs = [words(5) + one + words(50) + two, words(30) + one + words(50) + two + words(9), long, long[:140] + words(40) + long[140:]]
+    got = passages_of(spark, docs)
+    assert sorted(got) == [(1, 0, 30, 90), (1, 0, 140, 200), (3, 2, 0, 140), (3, 2, 180, 340)]
+
+
+def test_alignment_crosses_gaps():
+    rng = random.Random(10)
+    a = np.array([rng.randint(0, 60000) for _ in range(200)], np.uint16)
+    b = np.concatenate([a[:70], a[73:120], np.array([1, 2, 3, 4, 5], np.uint16), a[120:]])
+    (found,) = passages.aligned([(a, b, -2, 3)], 50, 0.8)
+    assert found == [(0, 200, 0, 202, 197)]
+
+
 # 5
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_token_files(odd, none, tmp_path, kind):
