@@ -229,3 +229,10 @@ def test_rolling_delta(spark):
     w = lambda t, n: spark.createDataFrame([(t, i, f"w{(i * i) % n}") for i in range(60)], "text string, pos int, word string")
     got = stylometry.rolling_delta(w("A", 7).union(w("B", 11)), w("T", 7), 20, 10, 5).collect()
     assert len(got) == 10 and {r.middle for r in got} == {10, 20, 30, 40, 50}
+
+
+def test_flat_morphology_raises_above_its_bound(spark):
+    counts = spark.range(2001).selectExpr("1L AS doc_id", "'pos' AS stat", "cast(id AS string) AS value", "1L AS n")
+    with pytest.raises(ValueError):
+        morphology.flat(counts)
+    assert len(morphology.flat(counts.limit(3)).columns) == 4
