@@ -236,3 +236,9 @@ def test_flat_morphology_raises_above_its_bound(spark):
     with pytest.raises(ValueError):
         morphology.flat(counts)
     assert len(morphology.flat(counts.limit(3)).columns) == 4
+
+
+def test_phrases_of_more_than_64_lengths(spark):
+    ws = spark.range(70).selectExpr("1L AS doc_id", "cast(id AS int) AS pos", "concat('w', id) AS word").coalesce(1)
+    phrases = spark.createDataFrame([(" ".join(["other"] * n),) for n in range(1, 65)] + [(" ".join(f"w{i}" for i in range(65)),)], "phrase string")
+    assert [(r.start, r.end) for r in phrase_spans(ws, phrases).collect()] == [(0, 65)]

@@ -90,7 +90,7 @@ def phrase_spans(ws: DataFrame, phrases: DataFrame, key: str = "doc_id") -> Data
     Candidates by joins on runs of words of each length that occurs; the greedy choice then walks a document's few
     candidates in order.
     """
-    lengths = [r.n for r in phrases.select(F.size(F.split("phrase", " ")).alias("n")).distinct().orderBy("n").limit(64).collect()]
+    lengths = [r.n for r in phrases.select(F.size(F.split("phrase", " ")).alias("n")).distinct().orderBy("n").collect()]
     wanted = phrases.select(F.lower("phrase").alias("phrase")).distinct().withColumn("_key", F.regexp_replace("phrase", " ", "_"))
     found = None
     for n in lengths:
