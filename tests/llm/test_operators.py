@@ -183,8 +183,12 @@ def test_passages(spark, odd, none):
 
 def test_chains_take_ordered_matches():
     a, b = np.array([0, 10, 20, 30, 40]), np.array([5, 15, 90, 35, 45])
-    best = max(passages.chains(a, b, 5), key=lambda c: c[1] - c[0])
-    assert best == (0, 45, 5, 50)
+    best = max(passages.chains(a, b, 5), key=len)
+    assert best == [(0, 45, 5, 50)]
+    a, b = np.array([*range(0, 40), *range(60, 80), 4]), np.array([*range(7, 47), *range(71, 91), 90])
+    best = max(passages.chains(a, b, 4), key=len)
+    assert best == [(0, 43, 7, 50), (60, 83, 71, 94)]
+    assert passages.chains(np.arange(0, 9000, 30), np.arange(0, 27000, 90), 4) is None  # too many runs
 
 
 def passages_of(spark, docs):
@@ -229,7 +233,7 @@ def test_alignment_crosses_gaps():
     rng = random.Random(10)
     a = np.array([rng.randint(0, 60000) for _ in range(200)], np.uint16)
     b = np.concatenate([a[:70], a[73:120], np.array([1, 2, 3, 4, 5], np.uint16), a[120:]])
-    (found,) = passages.aligned([(a, b, -2, 3)], 50, 0.8)
+    (found,) = passages.aligned([(a, b, -2, 3)], 4, 50, 0.8)
     assert found == [(0, 200, 0, 202, 197)]
 
 
