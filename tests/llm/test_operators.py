@@ -233,7 +233,7 @@ def test_alignment_crosses_gaps():
     rng = random.Random(10)
     a = np.array([rng.randint(0, 60000) for _ in range(200)], np.uint16)
     b = np.concatenate([a[:70], a[73:120], np.array([1, 2, 3, 4, 5], np.uint16), a[120:]])
-    (found,) = passages.aligned([(a, b, -2, 3)], 4, 50, 0.8)
+    (found,) = passages.aligned([(a, b, -2, 3, 0)], 4, 50, 0.8)
     assert found == [(0, 200, 0, 202, 197)]
 
 
