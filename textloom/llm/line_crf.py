@@ -1,8 +1,10 @@
 """Quality rules: counted rules over whole texts, and a linear-chain CRF that labels lines content or boilerplate.
 
-The CRF's unary potentials are linear in the statistics of a line, its transitions a 2 x 2 table; it is trained by
-maximum likelihood on a bounded sample of labelled documents, whose lines all take their document's label. Viterbi
-decoding finds the best labels of a document's lines; the share of its characters in content lines decides.
+The CRF's unary potentials are linear in the statistics of a line, its transitions a 2 x 2 table. It is trained on a
+bounded sample of labelled documents by Viterbi training: lines of good documents are content; those of bad ones, which
+hold lines of both kinds, begin as boilerplate and are then decoded and learned from in turn, and each keeps one line of
+boilerplate at least. Viterbi decoding finds the best labels of a document's lines; the share of its characters in
+content lines decides, from a threshold that tells the sample's documents apart best.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality import FEATURES, statistics
+from .quality import FEATURES, held_out, statistics
 from .shared import slices, sums, texts, words_of
 
 SYMBOLS = "[#*$%&|<>]"
@@ -91,8 +93,8 @@ def _in_steps(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Crf:
     """weights: one row of potentials for content less boilerplate; moves[a, b]: from label a to label b (1: content)."""
 
-    def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, moves: np.ndarray):
-        self.mean, self.scale, self.weights, self.moves = mean, scale, weights, moves
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, moves: np.ndarray, least_share: float = 0.5):
+        self.mean, self.scale, self.weights, self.moves, self.least_share = mean, scale, weights, moves, least_share
 
     def unary(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.ones(len(x)), np.clip((x - self.mean) / self.scale, -6, 6)]) @ self.weights
@@ -163,32 +165,68 @@ def train_crf(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, rounds: int = 1
     return crf
 
 
+def relabelled(crf: Crf, x: np.ndarray, good: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Labels of all lines: content in good documents; in bad ones as decoded, with the worst line as boilerplate where
+    all are decoded as content."""
+    y, of = crf.viterbi(x, lengths), np.repeat(np.arange(len(lengths)), lengths)
+    y[good[of]] = True
+    clean = (np.bincount(of, ~y, len(lengths)) == 0) & ~good & (lengths > 0)
+    order = np.lexsort((crf.unary(x), of))
+    y[order[(np.cumsum(lengths) - lengths)[clean]]] = False
+    return y
+
+
+def train_on_documents(x: np.ndarray, size: np.ndarray, good: np.ndarray, lengths: np.ndarray, passes: int = 4) -> Crf:
+    """Viterbi training from labels of documents (see above); the first pass takes every line alone.
+
+    size: characters of each line, for the threshold on the share of content.
+    """
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    y = good[of]
+    crf = train_crf(x, y.astype(float), np.ones(len(x), np.int64))
+    for _ in range(passes):
+        y = relabelled(crf, x, good, lengths)
+        crf = train_crf(x, y.astype(float), lengths)
+    n = len(lengths)
+    share = sums(size * crf.viterbi(x, lengths), of, n) / np.maximum(sums(size, of, n), 1)
+    # both kinds of documents weigh the same; between two shares all thresholds are equally good, so the one next to a half
+    edges = np.unique(np.append(share, [0.0, 1.0]))
+    marks = np.clip(0.5, edges[:-1] + 0.05 * np.diff(edges), edges[1:])
+    right = [(share[good] >= m).mean() + (share[~good] < m).mean() for m in marks]
+    best = max(right)
+    crf.least_share = float(min((m for m, v in zip(marks, right) if v >= best - 1e-12), key=lambda m: abs(m - 0.5)))
+    return crf
+
+
 def fit_crf(docs: DataFrame, labels: DataFrame, sample: int = 800, most_lines: int = 400) -> Crf:
-    """A CRF from at most `sample` labelled documents (by hash of their id, half of each label), at most `most_lines`
-    lines of each. Without lines of both labels: default_crf()."""
+    """A CRF from at most `sample` labelled documents (by hash of their id, half of each label, none that the quality
+    classifier holds out), at most `most_lines` lines of each. Without lines of both labels: default_crf().
+
+    Of a doc_id that several rows have, all rows are taken.
+    """
     order = F.xxhash64(F.lit(3), "doc_id")
-    one = lambda k: labels.where(F.col("quality") == k).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(k).alias("y")).distinct().orderBy(order, "doc_id").limit(sample // 2)
+    one = lambda k: labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where((F.col("quality") == k) & ~held_out()).select("doc_id", F.lit(k).alias("y")).distinct().orderBy(order, "doc_id").limit(sample // 2)
     chosen = one(0).unionByName(one(1))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                of, x, _ = line_statistics(batch.column(1))
+                of, x, size = line_statistics(batch.column(1))
                 first = np.searchsorted(of, np.arange(len(batch) + 1))
                 for k, y in enumerate(batch.column(0).to_pylist()):
-                    own = x[first[k] : min(first[k + 1], first[k] + most_lines)]
-                    yield pa.record_batch([pa.array([y]), pa.array([own.ravel().tolist()], pa.list_(pa.float64()))], names=["y", "x"])
+                    own = slice(first[k], min(first[k + 1], first[k] + most_lines))
+                    yield pa.record_batch([pa.array([y]), pa.array([np.column_stack([x[own], size[own]]).ravel().tolist()], pa.list_(pa.float64()))], names=["y", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select(F.col("y").cast("long"), "text")
-    got = [(r.y, np.array(r.x).reshape(-1, len(USED) + 1)) for r in rows.mapInArrow(lines, "y long, x array<double>").limit(4 * sample).collect() if r.x]
+    got = [(r.y, np.array(r.x).reshape(-1, len(USED) + 2)) for r in rows.mapInArrow(lines, "y long, x array<double>").collect() if r.x]
     if {y for y, _ in got} != {0, 1}:
         return default_crf()
     got.sort(key=lambda r: (r[0], len(r[1]), r[1].sum()))
-    lengths = np.array([len(x) for _, x in got])
-    return train_crf(np.concatenate([x for _, x in got]), np.repeat([float(y) for y, _ in got], lengths), lengths)
+    x = np.concatenate([x for _, x in got])
+    return train_on_documents(x[:, :-1], x[:, -1], np.array([y == 1 for y, _ in got]), np.array([len(x) for _, x in got]))
 
 
-def _deciding(crf: Crf, least_share: float):
+def _deciding(crf: Crf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
@@ -198,13 +236,13 @@ def _deciding(crf: Crf, least_share: float):
                 content = crf.viterbi(x, np.bincount(of, minlength=n))
                 share = sums(size * content, of, n) / np.maximum(sums(size, of, n), 1)
                 failed = (r["n_words"] < 20) | (100 * r["n_repeat_words"] > 30 * r["n_words"])
-                kept = ~failed & (share >= least_share)
+                kept = ~failed & (share >= crf.least_share)
                 yield pa.record_batch([batch.column(0), *(pa.array(r[c]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(kept), pa.array(share)], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"])
 
     return run
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame | None = None, crf: Crf | None = None, least_share: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame | None = None, crf: Crf | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, content_share of every row.
 
     docs: doc_id, text (others are ignored); labels: doc_id, quality, to train on; or a trained crf. Null texts have
@@ -212,4 +250,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None = None, crf: Crf | N
     """
     if crf is None:
         crf = fit_crf(docs, labels) if labels is not None else default_crf()
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_deciding(crf, least_share), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_deciding(crf), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double")

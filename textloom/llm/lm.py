@@ -133,7 +133,7 @@ def _merging(folder: str):
     """Whole buckets -> a file of sorted pair hashes and counts each; rows of what the words' table needs.
 
     kind 0: a word with its followers (count, once, twice, more); kind 1: a word with its number of predecessors;
-    kind 2: how many pairs came `hash` times (1 to 4).
+    kind 2: how many pairs came `hash` times (1 to 4); kind 3: bucket `hash` has files of so many pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,16 +152,16 @@ def _merging(folder: str):
             pair = mixed(before, word)
             order = np.argsort(pair)
             commit_file(folder, f"pairs-{b:06d}.npy", [_npy(pair[order])])
-            commit_file(folder, f"times-{b:06d}.npy", [_npy(np.minimum(times[order], 2**32 - 1).astype(np.uint32))])
+            commit_file(folder, f"times-{b:06d}.npy", [_npy(times[order].astype(np.min_scalar_type(int(times.max()))))])
             n = len(at)
             follow = [np.add.reduceat(times, at), *(np.bincount(of[m], minlength=n) for m in (times == 1, times == 2, times > 2))]
             words, preceded = np.unique(word, return_counts=True)
             kinds = [np.bincount(np.minimum(times, 5).astype(np.int64), minlength=6)[k] for k in range(1, 5)]
             zero = np.zeros
             yield pa.record_batch([
-                pa.array(np.concatenate([before[at].view(np.int64), words.view(np.int64), np.arange(1, 5)])), pa.array(np.repeat([0, 1, 2], [n, len(words), 4])),
-                pa.array(np.concatenate([follow[0], zero(len(words), np.int64), kinds]).astype(np.int64)), pa.array(np.concatenate([zero(n, np.int64), preceded, zero(4, np.int64)])),
-                *(pa.array(np.concatenate([f, zero(len(words) + 4, np.int64)]).astype(np.int64)) for f in follow[1:]),
+                pa.array(np.concatenate([before[at].view(np.int64), words.view(np.int64), np.arange(1, 5), [b]])), pa.array(np.repeat([0, 1, 2, 3], [n, len(words), 4, 1])),
+                pa.array(np.concatenate([follow[0], zero(len(words), np.int64), kinds, [len(pair)]]).astype(np.int64)), pa.array(np.concatenate([zero(n, np.int64), preceded, zero(5, np.int64)])),
+                *(pa.array(np.concatenate([f, zero(len(words) + 5, np.int64)]).astype(np.int64)) for f in follow[1:]),
             ], names=["hash", "kind", "count", "before", "once", "twice", "more"])
 
     return run
@@ -196,19 +196,38 @@ def discounts(n: list[int]) -> list[float]:
 
 
 class Model:
-    """The mapped arrays of a folder."""
+    """The arrays of a folder. sizes: pairs of each bucket that has any; a file that should be there and isn't, or that
+    has another length, is an error.
 
-    def __init__(self, folder: str, buckets: int, spread: int, word_files: int, sums: dict):
-        _, self.path = opened(folder)
-        self.buckets, self.spread, self.word_files, self.sums, self.maps = buckets, spread, word_files, sums, {}
+    Files of a file system that the machine mounts are memory-mapped; of another one (HDFS, S3) the arrays in use are
+    read, and the last KEPT of them stay.
+    """
 
-    def get(self, name: str) -> np.ndarray | None:
-        if name not in self.maps:
-            try:
-                self.maps[name] = np.load(f"{self.path}/{name}.npy", mmap_mode="r")
-            except FileNotFoundError:  # no pair fell into the bucket
-                self.maps[name] = None
-        return self.maps[name]
+    KEPT = 8
+
+    def __init__(self, folder: str, buckets: int, spread: int, word_files: int, sums: dict, sizes: dict[int, int]):
+        from pyarrow import fs
+
+        self.system, self.path = opened(folder)
+        self.mapped = isinstance(self.system, fs.LocalFileSystem)
+        self.buckets, self.spread, self.word_files, self.sums, self.sizes, self.maps = buckets, spread, word_files, sums, sizes, {}
+
+    def get(self, name: str, at: int) -> np.ndarray | None:
+        if name in ("pairs", "times") and at not in self.sizes:
+            return None
+        file = f"{name}-{at:06d}"
+        if file not in self.maps:
+            if self.mapped:
+                found = np.load(f"{self.path}/{file}.npy", mmap_mode="r")
+            else:
+                with self.system.open_input_file(f"{self.path}/{file}.npy") as f:
+                    found = np.load(io.BytesIO(f.readall()))
+                while len(self.maps) >= self.KEPT:
+                    self.maps.pop(next(iter(self.maps)))
+            if name in ("pairs", "times") and len(found) != self.sizes[at]:
+                raise ValueError(f"{self.path}/{file}.npy has {len(found)} rows instead of {self.sizes[at]}")
+            self.maps[file] = found
+        return self.maps[file]
 
     def _search(self, keys: np.ndarray, of: np.ndarray, names: tuple[str, str], width: int) -> np.ndarray:
         """Values of the keys (zeros where there is none); of: the bucket of each key."""
@@ -218,12 +237,12 @@ class Model:
         keys, of = keys[order], of[order]
         cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
         for a, z in zip(cuts, [*cuts[1:], len(of)]):
-            stored = self.get(f"{names[0]}-{int(of[a]):06d}")
+            stored = self.get(names[0], int(of[a]))
             if stored is None or not len(stored):
                 continue
             at = np.minimum(np.searchsorted(stored, keys[a:z]), len(stored) - 1)
             hit = np.flatnonzero(stored[at] == keys[a:z])
-            out[order[a + hit]] = self.get(f"{names[1]}-{int(of[a]):06d}")[at[hit]]
+            out[order[a + hit]] = self.get(names[1], int(of[a]))[at[hit]]
         return out
 
     def scores(self, counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,7 +274,7 @@ class Model:
 def train(docs: DataFrame, folder: str) -> dict:
     """Count the pairs of docs (text) into the files of folder; returns what a Model of it needs.
 
-    What reaches the driver are sums: four numbers a kind, and one row for each file of words.
+    What reaches the driver are sums: four numbers a kind, and one row for each bucket and file of words.
     """
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -264,7 +283,8 @@ def train(docs: DataFrame, folder: str) -> dict:
     opened(folder)
     parts = packed.repartition(buckets, "bucket").mapInArrow(_merging(folder), "hash long, kind long, count long, before long, once long, twice long, more long")
     parts = written(parts, "followers")
-    kinds = {r.hash: r.n for r in parts.where("kind = 2").groupBy("hash").agg(F.sum("count").alias("n")).collect()}
+    got = parts.where("kind > 1").groupBy("kind", "hash").agg(F.sum("count").alias("n")).collect()  # 4 rows, and one a bucket
+    kinds, sizes = ({r.hash: r.n for r in got if r.kind == k} for k in (2, 3))
     words = parts.where("kind < 2").groupBy("hash").agg(*(F.sum(c).alias(c) for c in WORD_COLUMNS[1:]))
     # the file of a word is its unsigned hash modulo the number of files
     low = F.pmod(F.col("hash"), F.lit(buckets))
@@ -273,7 +293,7 @@ def train(docs: DataFrame, folder: str) -> dict:
     s = stored.agg(*(F.coalesce(F.sum(f"s{i}"), F.lit(0)).alias(f"s{i}") for i in range(7))).first()
     by = [s.s3, s.s4, max(s.s0 - s.s3 - s.s4, 0)]
     sums = {"tokens": s.s1, "vocabulary": s.s0, "types": s.s2, "types_by": by, "unigram": discounts([s.s3, s.s4, s.s5, s.s6]), "bigram": discounts([kinds.get(k, 0) for k in range(1, 5)])}
-    return {"folder": folder, "buckets": buckets, "spread": spread, "word_files": buckets, "sums": sums}
+    return {"folder": folder, "buckets": buckets, "spread": spread, "word_files": buckets, "sums": sums, "sizes": sizes}
 
 
 _models: dict[str, Model] = {}
