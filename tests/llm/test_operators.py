@@ -114,22 +114,49 @@ def test_exact_dedup(odd, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_hot_classes_are_spread(spark):
+    rows = [(i, "the same text" if i % 3 == 0 else f"text {i % 1500}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(df).collect()}
+    groups = defaultdict(list)
+    for d, t in rows:
+        groups[t].append(d)
+    assert got == {d: (max(groups[t]), len(groups[t])) for d, t in rows}
+
+
 def test_cuckoo_filter_overflows_and_deletes():
     index = exact_dedup.CuckooIndex(2)
     keys = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
     for k in keys:
-        index.insert(k, k)
-    assert index.filter.mask > 1 and all(index.get(k) == k for k in keys)
+        assert index.find(k) is None
+        index.insert([k, k])
+    assert index.filter.mask > 1 and all(index.find(k, k)[1] == k for k in keys)
+    with pytest.raises(ValueError):
+        index.find(keys[0], b"another text")
     assert all(index.delete(k) for k in keys[::2]) and not index.delete(keys[0])
-    assert all((index.get(k) is None) == (i % 2 == 0) for i, k in enumerate(keys))
-    assert sum(map(len, index.filter.rows)) == 1500
+    assert all((index.find(k) is None) == (i % 2 == 0) for i, k in enumerate(keys))
+    assert sum(map(len, index.filter.rows)) == len(list(index.entries())) == 1500
+
+
+def test_the_filter_turns_new_digests_away(monkeypatch):
+    index = exact_dedup.CuckooIndex(4096)
+    keys = [hashlib.sha256(str(i).encode()).digest() for i in range(4000)]
+    for k in keys[:2000]:
+        index.insert([k, k])
+    looked = []
+    monkeypatch.setattr(exact_dedup.CuckooIndex, "_bucket", lambda self, d: looked.append(d) or [])
+    assert all(index.find(k) is None for k in keys[2000:]) and len(looked) < 20
 
 
 def test_update_index(spark):
     docs = lambda *r: spark.createDataFrame(list(r), "doc_id long, text string")
-    live = exact_dedup.update_index(exact_dedup.empty_index(spark), docs((1, "a"), (2, "A"), (3, "b")), docs(), 4)
-    live = exact_dedup.update_index(live, docs((4, "b"), (5, "c")), docs((2, None)), 4)
-    assert sorted((r.doc_id, bytes(r.content)) for r in live.collect()) == [(4, b"b"), (5, b"c")]
+    rows = lambda index: (sorted((bytes(r.content), r.n) for r in index[0].collect()), sorted((r.doc_id is not None, r.doc_id or 0) for r in index[1].collect()))
+    index = exact_dedup.update_index(*exact_dedup.empty_index(spark), docs((1, "a"), (2, "A"), (3, "b"), (None, None)), docs(), 4)
+    assert rows(index) == ([(b"", 1), (b"a", 2), (b"b", 1)], [(False, 0), (True, 1), (True, 2), (True, 3)])
+    index = exact_dedup.update_index(*index, docs((4, "b"), (5, "c")), docs((2, None), (99, None), (None, None)), 4)
+    assert rows(index) == ([(b"", 1), (b"a", 1), (b"b", 2), (b"c", 1)], [(False, 0), (True, 1), (True, 3), (True, 4), (True, 5)])
+    index = exact_dedup.update_index(*index, docs((3, "d")), docs((1, None), (3, None), (4, None)), 4)
+    assert rows(index) == ([(b"", 1), (b"c", 1), (b"d", 1)], [(False, 0), (True, 3), (True, 5)])
 
 
 # 3

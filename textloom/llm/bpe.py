@@ -85,13 +85,20 @@ class Bpe:
     def words(self, words: list[bytes]) -> list[tuple[bytes, bytes, int]]:
         """Decimal ids, decoded bytes and number of ids of each pre-token."""
         out: list = [None] * len(words)
-        spelled = []
+        spelled, whole, tokens = [], [], []
         for i, w in enumerate(words):
             rank = self.ranks.get(w)
             if rank is None:
                 spelled.append(i)
-            else:
-                out[i] = (b"%d" % rank, w, 1)
+            else:  # a piece of the vocabulary is its own token
+                whole.append(i)
+                tokens.append(rank)
+        if whole:
+            singles = pa.table({"word": np.array(whole, np.int32), "token": np.array(tokens, np.int32)})  # noqa: F841
+            got = self.db.sql("SELECT word, token, piece FROM singles JOIN pieces USING (token)").to_arrow_table()
+            for w, token, piece in zip(*(c.to_pylist() for c in got.columns)):
+                back = bytes.fromhex(piece)
+                out[w] = (b"%d" % token, words[w] if back == words[w] else back, 1)
         if spelled:
             lengths = np.array([len(words[i]) for i in spelled])
             data = np.frombuffer(b"".join(words[i] for i in spelled), np.uint8)

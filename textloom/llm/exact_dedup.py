@@ -1,8 +1,9 @@
 """Exact deduplication by a cuckoo-filter index over text digests.
 
-A digest that the filter doesn't know is new. A hit is verified against the content kept in the digest's bucket,
-so a false positive of the filter never drops a text. Overflow doubles the filter, refilled from the stored keys.
-Live digests can be deleted again, which a Bloom filter can't do.
+A digest that the filter doesn't know is new, and no content is looked at. A hit is verified against the content kept in
+the digest's bucket, so a false positive of the filter never drops a text. Overflow doubles the filter and its buckets,
+refilled from the stored keys. Live digests are deleted again, which a Bloom filter can't do: texts go through by
+ranges of digests, and what a range leaves in the index is given out and deleted before the next.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lowered, raw
+from .shared import LOWER, UPPER, lowered, raw, with_classes, written
 
 SLOTS, KICKS = 4, 200
 
@@ -64,43 +65,57 @@ class CuckooFilter:
 
 
 class CuckooIndex:
-    """A filter and its stored keys: digest -> value (content or what stands for it)."""
+    """A filter, and stored entries [digest, content, ...] in buckets by a digest's first place."""
 
     def __init__(self, buckets: int = 1024):
-        self.filter, self.keys = CuckooFilter(buckets), {}
-
-    def get(self, digest: bytes):
-        """The stored value, or None: most new digests are turned away by the filter alone."""
-        return self.keys.get(digest) if digest in self.filter else None
-
-    def insert(self, digest: bytes, value) -> None:
-        if digest in self.keys:
-            self.keys[digest] = value
-            return
-        self.keys[digest] = value
-        if not self.filter.add(digest):
+        self.filter, self.store = CuckooFilter(buckets), [[] for _ in range(buckets)]
+
+    def _bucket(self, digest: bytes) -> list[list]:
+        return self.store[int.from_bytes(digest[2:10], "little") & self.filter.mask]
+
+    def find(self, digest: bytes, content: bytes | None = None) -> list | None:
+        """The entry of a digest, or None. Its content must be the given one."""
+        if digest not in self.filter:
+            return None
+        for entry in self._bucket(digest):
+            if entry[0] == digest:
+                if content is not None and entry[1] != content:
+                    raise ValueError("two different texts have one SHA-256 digest")
+                return entry
+        return None
+
+    def insert(self, entry: list) -> None:
+        """A new entry; its digest must not be live."""
+        self._bucket(entry[0]).append(entry)
+        if not self.filter.add(entry[0]):
             self.resize()
 
     def delete(self, digest: bytes) -> bool:
-        """Only live digests may be deleted: removing an absent one could take another's fingerprint."""
-        if digest not in self.keys:
-            return False
-        del self.keys[digest]
-        return self.filter.remove(digest)
+        """Only live digests are deleted: removing an absent one could take another's fingerprint."""
+        bucket = self._bucket(digest)
+        for i, entry in enumerate(bucket):
+            if entry[0] == digest:
+                del bucket[i]
+                return self.filter.remove(digest)
+        return False
+
+    def entries(self) -> Iterator[list]:
+        for bucket in self.store:
+            yield from bucket
 
     def resize(self) -> None:
-        buckets = 2 * (self.filter.mask + 1)
+        live, buckets = list(self.entries()), 2 * len(self.store)
         while True:
-            self.filter = CuckooFilter(buckets)
-            if all(map(self.filter.add, self.keys)):
+            self.filter, self.store = CuckooFilter(buckets), [[] for _ in range(buckets)]
+            for entry in live:
+                self._bucket(entry[0]).append(entry)
+            if all(self.filter.add(entry[0]) for entry in live):
                 return
             buckets *= 2
 
 
-def _same(kept: bytes, text: bytes) -> bool:
-    if kept != text:
-        raise ValueError("two different texts have one SHA-256 digest")
-    return True
+def _larger(a: int | None, b: int | None) -> int | None:
+    return b if a is None or (b is not None and b > a) else a
 
 
 def _combiner(content_mb: int):
@@ -110,73 +125,89 @@ def _combiner(content_mb: int):
         index, held = CuckooIndex(), 0
 
         def flush() -> pa.RecordBatch:
-            digests, rows = list(index.keys), list(index.keys.values())
-            return pa.record_batch([pa.array(digests, pa.binary()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["digest", "content", "keep_id", "n"])
+            rows = list(index.entries())
+            return pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["digest", "content", "keep_id", "n"])
 
         for batch in batches:
             ends, data = raw(lowered(batch.column(1)))
             for k, doc in enumerate(batch.column(0).to_pylist()):
                 text = bytes(data[ends[k] : ends[k + 1]])
                 digest = hashlib.sha256(text).digest()
-                row = index.get(digest)
-                if row is not None and _same(row[0], text):
-                    row[2] += 1
-                    if doc is not None and (row[1] is None or doc > row[1]):
-                        row[1] = doc
-                else:
-                    index.insert(digest, [text, doc, 1])
+                entry = index.find(digest, text)
+                if entry is None:
+                    index.insert([digest, text, doc, 1])
                     held += len(text)
+                else:
+                    entry[2], entry[3] = _larger(entry[2], doc), entry[3] + 1
             if held > content_mb << 20:
                 yield flush()
                 index, held = CuckooIndex(), 0
-        if index.keys:
-            yield flush()
+        yield flush()
 
     return run
 
 
 def _merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of whole digest buckets, sorted by digest -> one row per different text.
+    """Rows sorted by range of digests -> one row per different text; a range at a time is live in the index."""
+    index, live, now, out = CuckooIndex(), [], None, []
+
+    def ended() -> None:
+        for entry in live:
+            out.append([entry[0], entry[2], entry[3]])
+            index.delete(entry[0])
+        live.clear()
 
-    Equal digests are adjacent, so only one content is held at a time, however large the bucket.
-    """
-    index, open_row = CuckooIndex(), None
     for batch in batches:
-        out: list[list] = []
-        for digest, content, doc, n in zip(*(c.to_pylist() for c in batch.columns)):
-            if digest in index.filter and open_row is not None and open_row[0] == digest and _same(open_row[1], content):
-                open_row[3] += n
-                if doc is not None and (open_row[2] is None or doc > open_row[2]):
-                    open_row[2] = doc
+        for bucket, digest, content, doc, n in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != now:
+                ended()
+                now = bucket
+            entry = index.find(digest, content)
+            if entry is None:
+                entry = [digest, content, doc, n]
+                index.insert(entry)
+                live.append(entry)
             else:
-                index.insert(digest, None)
-                if open_row is not None:
-                    out.append(open_row)
-                open_row = [digest, content, doc, n]
+                entry[2], entry[3] = _larger(entry[2], doc), entry[3] + n
         yield _rows(out)
-    if open_row is not None:
-        yield _rows([open_row])
+        out.clear()
+    ended()
+    yield _rows(out)
 
 
 def _rows(rows: list[list]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["digest", "keep_id", "group_size"])
+    return pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["digest", "keep_id", "group_size"])
+
 
+#: Digests are cut into 2 ** RANGE_BITS ranges; a range's different contents are held by one task at a time.
+RANGE_BITS = 20
 
-def text_classes(docs: DataFrame, content_mb: int = 48) -> DataFrame:
+
+def _range(bits: int):
+    return F.shiftright(F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("int"), 24 - bits)
+
+
+def text_classes(docs: DataFrame, content_mb: int = 48, bits: int = RANGE_BITS) -> DataFrame:
     """One row per different text: digest, keep_id, group_size.
 
     Each input split is combined first (a text held by a third of all rows leaves a split once), so what is
-    shuffled is at most one content per split and text.
+    shuffled is at most one content per split and text. bits: 20 (of 24 at most) hold a range at some 100 MB of content
+    for 100 TB of different texts.
     """
     return (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         .mapInArrow(_combiner(content_mb), "digest binary, content binary, keep_id long, n long")
-        .repartition("digest")
-        .sortWithinPartitions("digest")
+        .select(_range(bits).alias("range"), "digest", "content", "keep_id", "n")
+        .repartition("range")
+        .sortWithinPartitions("range")
         .mapInArrow(_merger, "digest binary, keep_id long, group_size long")
     )
 
 
+def _digest():
+    return F.unhex(F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER), 256))
+
+
 def exact_dedup(docs: DataFrame, content_mb: int = 48) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs (doc_id, text; other columns are ignored).
 
@@ -184,42 +215,46 @@ def exact_dedup(docs: DataFrame, content_mb: int = 48) -> DataFrame:
     doc_id stays; a null doc_id is below all others (keep_id is null where a group has no other). Repeated rows of
     one doc_id count each in group_size and share their flags. An empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)).alias("digest"))
-    return rows.join(text_classes(docs, content_mb), "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"))
+    classes = written(text_classes(docs, content_mb), "texts")
+    return with_classes(rows, classes, "digest", "group_size").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def update_index(keys: DataFrame, inserts: DataFrame, deletes: DataFrame, buckets: int = 64) -> DataFrame:
-    """The live keys (digest, doc_id, content) after deleting the documents of `deletes` and then adding `inserts`.
+def update_index(keys: DataFrame, members: DataFrame, inserts: DataFrame, deletes: DataFrame, bits: int = 6) -> tuple[DataFrame, DataFrame]:
+    """The index after deleting the documents of `deletes` (doc_id) and then adding `inserts` (doc_id, text).
 
-    keys: what an earlier call returned; inserts: doc_id, text; deletes: doc_id. A text that is already live keeps
-    its entry, with the larger doc_id. buckets: digest buckets, each a group of one task; scale them with the keys
-    (about a million to a bucket). Inserts are combined before they are grouped, so a hot text is one row a split.
+    keys: digest, content, n (live documents of the text); members: doc_id, digest. A text stays live until its last
+    document is deleted. A deleted doc_id takes all its rows; a null doc_id is never deleted, and unknown ones change
+    nothing. bits: 2 ** bits ranges of digests, each a group of one task; scale them with the keys (some 100 MB a group).
+    Changes are summed by digest before they are grouped, so a hot text is one row.
     """
-    spark = keys.sparkSession
-    new = inserts.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_combiner(48), "digest binary, content binary, keep_id long, n long").select("digest", "content", F.col("keep_id").alias("doc_id"), F.lit(1).alias("what"))
-    gone = keys.join(deletes.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id").select("digest", F.lit(None).cast("binary").alias("content"), "doc_id", F.lit(0).alias("what"))
-    bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket")
+    new = inserts.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_combiner(48), "digest binary, content binary, keep_id long, n long")
+    gone = deletes.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    dead = members.join(gone, "doc_id", "left_semi").select("digest", F.lit(None).cast("binary").alias("content"), F.lit(0).cast("long").alias("more"), F.lit(1).cast("long").alias("less"))
+    both = dead.unionByName(new.select("digest", "content", F.col("n").alias("more"), F.lit(0).cast("long").alias("less")))
+    changes = both.groupBy("digest").agg(F.max("content").alias("content"), F.sum("more").alias("more"), F.sum("less").alias("less"))
 
-    def apply(live: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
+    def apply(live: pd.DataFrame, changed: pd.DataFrame) -> pd.DataFrame:
         index = CuckooIndex()
-        for digest, doc, content in zip(live.digest, live.doc_id, live.content):
-            index.insert(bytes(digest), (doc, bytes(content)))
-        for what, digest, doc, content in sorted(zip(changes.what, map(bytes, changes.digest), changes.doc_id, changes.content), key=lambda r: (r[0], r[1])):
-            if what == 0:
+        for digest, content, n in zip(live.digest, live.content, live.n):
+            index.insert([bytes(digest), bytes(content), n])
+        for digest, content, more, less in zip(map(bytes, changed.digest), changed.content, changed.more, changed.less):
+            entry = index.find(digest, None if content is None else bytes(content))
+            if entry is None:
+                index.insert([digest, bytes(content), more])
+                continue
+            entry[2] += more - less
+            if entry[2] <= 0:
                 index.delete(digest)
-            else:
-                held = index.get(digest)
-                if held is None:
-                    index.insert(digest, (doc, bytes(content)))
-                elif _same(held[1], bytes(content)) and doc > held[0]:
-                    index.insert(digest, (doc, held[1]))
-        return pd.DataFrame({"digest": list(index.keys), "doc_id": [v[0] for v in index.keys.values()], "content": [v[1] for v in index.keys.values()]})
+        rows = list(index.entries())
+        return pd.DataFrame({"digest": [r[0] for r in rows], "content": [r[1] for r in rows], "n": pd.Series([r[2] for r in rows], dtype="int64")})
 
-    own = [F.col(c).alias(c) for c in ("digest", "doc_id", "content")]  # new names, as both sides come from keys
-    live = keys.select(bucket, *own)
-    changes = gone.unionByName(new).select(bucket, *own, "what")
-    return live.groupBy("bucket").cogroup(changes.groupBy("bucket")).applyInPandas(apply, "digest binary, doc_id long, content binary")
+    own = [F.col(c).alias(c) for c in ("digest", "content", "n")]  # new names, as both sides may come from keys
+    live, changed = keys.select(_range(bits).alias("range"), *own), changes.select(_range(bits).alias("range"), "*")
+    kept = live.groupBy("range").cogroup(changed.groupBy("range")).applyInPandas(apply, "digest binary, content binary, n long")
+    added = inserts.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"))
+    return kept, members.join(gone, "doc_id", "left_anti").select("doc_id", "digest").unionByName(added)
 
 
-def empty_index(spark) -> DataFrame:
-    return spark.createDataFrame([], "digest binary, doc_id long, content binary")
+def empty_index(spark) -> tuple[DataFrame, DataFrame]:
+    return spark.createDataFrame([], "digest binary, content binary, n long"), spark.createDataFrame([], "doc_id long, digest binary")

@@ -77,12 +77,12 @@ def mix(docs: DataFrame, share: float = 0.9, epochs: float = 2.0, seed: int = 17
 
     The budget is `share` of all tokens (words between white space); no leaf gives more than `epochs` times its own.
     Null lang or source is "?". The prefix ends with the last document that fits; ties in the seeded order go by
-    doc_id, null first. Documents without a word cost nothing and are taken with the prefix they stand in. Repeated
+    doc_id, null first, then by a hash of the text. Documents without a word cost nothing and are taken with the prefix they stand in. Repeated
     rows are rows of their own at the same place of the order. An empty table gives no rows.
     """
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in ("lang", "source"))
     n = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of().alias("domain"), lang.alias("lang"), source.alias("source"), n.alias("n_tokens")), "tokens")
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of().alias("domain"), lang.alias("lang"), source.alias("source"), n.alias("n_tokens"), F.xxhash64("text").alias("tie")), "tokens")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n")).limit(MOST_LEAVES + 1).collect()
     if len(leaves) > MOST_LEAVES:
         raise ValueError(f"more than {MOST_LEAVES} leaves")
@@ -100,11 +100,11 @@ def mix(docs: DataFrame, share: float = 0.9, epochs: float = 2.0, seed: int = 17
     placed = written(hashed.join(ranges, [*LEVELS, "range"]).withColumn("cut", (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("in_range") > F.col("rest"))), "ranges")
     out = ["doc_id", *LEVELS, "n_tokens"]
     plain = placed.where("not cut").select(*out, (F.col("whole") + (F.col("before") + F.col("in_range") <= F.col("rest")).cast("long")).alias("copies"))
-    exact = W.partitionBy(*LEVELS, "range").orderBy("order", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    exact = W.partitionBy(*LEVELS, "range").orderBy("order", "doc_id", "tie").rowsBetween(W.unboundedPreceding, 0)
     border = placed.where("cut").withColumn("upto", F.col("before") + F.sum("n_tokens").over(exact))
     return plain.unionByName(border.select(*out, (F.col("whole") + (F.col("upto") <= F.col("rest")).cast("long")).alias("copies")))
 
 
 def mixed_documents(docs: DataFrame, share: float = 0.9, seed: int = 17) -> DataFrame:
     """The rows of docs that the mixture takes, once each (one epoch at most), with all their columns."""
-    return kept_rows(docs, mix(docs, share, 1.0, seed).where("copies > 0"))
+    return kept_rows(docs, lambda rows: mix(rows, share, 1.0, seed).where("copies > 0"))

@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import written
+
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns, written so that Java neither recurses nor scans a run twice: a match can't start inside
 #: a run whose start failed, and possessive groups are loops.
@@ -31,15 +33,16 @@ HINT = {
     "email": r"@|[\[(]at[\])]| at [A-Za-z0-9-]+ dot ", "ip": r"[0-9](?:\.| ?[\[(](?:\.|dot)[\])] ?)[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}|(?:[0-9]{4}[./_] ?){3}[0-9]{4}",
     "phone": r"\+[0-9]|[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|(?<![0-9])00[0-9]{1,3}[ .-]",
 }
-#: High-recall generators by kind; what they propose may overlap base spans and each other.
+#: High-recall generators by kind, alternatives of one pattern where they don't overlap; what they propose may overlap
+#: base spans and each other.
 PROPOSED = {
-    "email": [
+    "email": ["|".join([
         r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{1,63}){1,8}",
         r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){1,4}",
-    ],
-    "ip": [r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])", r"(?<![0-9.])[0-9]{1,3}(?: ?[\[(](?:\.|dot)[\])] ?[0-9]{1,3}){3}(?![0-9])"],
-    "card": [r"(?<![0-9])[0-9]{12,19}(?![0-9])", r"(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}(?![0-9])", r"(?<![0-9])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])", r"(?<![0-9])[0-9]{4}(?:[./_] ?[0-9]{4}){3}(?![0-9])"],
-    "phone": [r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])", r"\+[0-9]{9,15}(?![0-9])", r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", r"(?<![0-9])00[0-9]{1,3}(?:[ .-][0-9]{2,5}){2,5}(?![0-9])"],
+    ])],
+    "ip": ["|".join([r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])", r"(?<![0-9.])[0-9]{1,3}(?: ?[\[(](?:\.|dot)[\])] ?[0-9]{1,3}){3}(?![0-9])"])],
+    "card": ["|".join([r"(?<![0-9])[0-9]{12,19}(?![0-9])", r"(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}(?![0-9])", r"(?<![0-9])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])", r"(?<![0-9])[0-9]{4}(?:[./_] ?[0-9]{4}){3}(?![0-9])"])],
+    "phone": [r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{9,15}(?![0-9])", r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])00[0-9]{1,3}(?:[ .-][0-9]{2,5}){2,5}(?![0-9])"],
 }
 #: Words in the AROUND characters before a proposal that speak for a kind, or for another number.
 AROUND = 24
@@ -251,7 +254,7 @@ def trained(spark: SparkSession, n: int = TRAINING, seed: int = 8) -> Boosted:
     """Boost over the proposals of training_texts(n, seed); the driver gets one row a pattern of bits."""
     rows = [{"doc_id": i, "text": t, "spans": [{"start": a, "kind": k, "end": z} for a, k, z in spans]} for i, (t, spans) in enumerate(training_texts(n, seed))]
     texts = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<doc_id:long,text:string,spans:array<struct<start:int,kind:int,end:int>>>>")))
-    found = candidates(texts, "spans").select("fold", "spans", F.explode("proposed").alias("p"))
+    found = candidates(written(texts, "training"), "spans").select("fold", "spans", F.explode("proposed").alias("p"))
     right = F.exists("spans", lambda b: (b["start"] == F.col("p.start")) & (b["kind"] == F.col("p.kind")) & (b["end"] == F.col("p.end")))
     # what lies inside a written span is never added on its own
     part = F.exists("spans", lambda b: (b["start"] <= F.col("p.start")) & (F.col("p.end") <= b["end"]) & (b["end"] - b["start"] > F.col("p.end") - F.col("p.start")))

@@ -19,10 +19,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder (URI) below spark.checkpoint.dir, which all executors share.
 
-    Only where the session has no such setting (tests on one machine) a temporary folder is made and set.
+    Only where the session has no such setting and runs on one machine (tests) a temporary folder is made and set; on a
+    cluster a missing setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
@@ -97,7 +101,34 @@ def sums(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(of, values, n)
 
 
-def kept_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id (null included) is in keys (doc_id)."""
-    keys = keys.select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(keys, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+#: A class of more than this share of all rows is hot; there can't be more hot classes than 1 / HOT_SHARE.
+HOT_SHARE = 1 / 1000
+
+
+def with_classes(rows: DataFrame, classes: DataFrame, key: str, size: str) -> DataFrame:
+    """rows with the columns of classes (one row a key, `size` of its rows); every key of rows has a class.
+
+    The hot classes, a thousand at most, are broadcast; their rows keep no key, so that the shuffled join spreads them.
+    """
+    total = classes.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first().n
+    columns = [c for c in classes.columns if c != key]
+    renamed = lambda df, mark: df.select(F.col(key).alias(f"{mark}{key}"), *(F.col(c).alias(f"{mark}{c}") for c in columns))
+    hot = renamed(classes.where(F.col(size) > HOT_SHARE * total), "_hot_")
+    cold = renamed(classes.where(F.col(size) <= HOT_SHARE * total), "_cold_")
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col(f"_hot_{key}"), "left")
+    marked = marked.withColumn("_of", F.when(F.col(f"_hot_{key}").isNull(), F.col(key))).withColumn("_salt", F.when(F.col("_of").isNull(), F.pmod(F.xxhash64("doc_id"), F.lit(4096)).cast("int")).otherwise(-1))
+    both = marked.join(cold.withColumn("_none", F.lit(-1)), (F.col("_of") == F.col(f"_cold_{key}")) & (F.col("_salt") == F.col("_none")), "left")
+    return both.select(*rows.columns, *(F.when(F.col("_of").isNull(), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in columns))
+
+
+def kept_rows(docs: DataFrame, decide, above: bool = False) -> DataFrame:
+    """Rows of docs whose doc_id is in decide(docs) (doc_id). Rows of one doc_id are one document.
+
+    A row without doc_id is decided by its text: decide() sees a number made of the text's hash, below all doc_ids
+    (above: above them), which isn't in what is returned.
+    """
+    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1))
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + mark if above else F.lit(-(1 << 62)) - mark)
+    rows = docs.withColumn("_own_id", own)
+    keys = decide(docs.withColumn("doc_id", own)).select(F.col("doc_id").alias("_kept_id"))
+    return rows.join(keys, F.col("_own_id") == F.col("_kept_id"), "left_semi").drop("_own_id")

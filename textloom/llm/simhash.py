@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import lowered, raw, written
+from .shared import lowered, raw, with_classes, written
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -211,9 +211,9 @@ def simhash_dedup(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame
     (a component of nothing else has null). Repeated rows each give a row. An empty table gives no rows.
     """
     rows = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(width), "doc_id long, fp long"), "fingerprints")
-    marks = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "marks")
+    marks = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "marks")
     parts = components(links_between(marks.select("fp"), radius))
-    named = marks.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("part"))
+    named = marks.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("part"))
     least = named.groupBy("part").agg(F.min("first").alias("component_id"))
-    of = named.join(least, "part").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = written(named.join(least, "part").select("fp", "component_id", "n"), "classes")
+    return with_classes(rows, of, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

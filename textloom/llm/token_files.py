@@ -29,6 +29,8 @@ from .units import Encoded, units_of
 MAGIC, FOOTER = b"TLIDS001", struct.Struct("<8sBIQQQQ")
 BLOCK = 1 << 16
 PLANES = {"byte": 4, "bit": 32}
+#: A file is closed, and the next of its shard begun, beyond so many ids or documents.
+MOST_IDS, MOST_DOCS = 1 << 26, 1 << 22
 
 
 def planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -54,11 +56,16 @@ class Writer:
         self.system, path = opened(folder)
         self.final, self.part = f"{path}/{name}", f"{path}/.{name}.{uuid.uuid4().hex}"
         self.out, self.kind, self.block, self.pack = self.system.open_output_stream(self.part), kind, block, zstandard.ZstdCompressor(level)
-        self.at, self.index, self.rest, self.docs, self.counts, self.total = 0, [], np.zeros(0, np.uint32), [], [], 0
+        self.at, self.index, self.rest, self.docs, self.counts, self.n_docs, self.total = 0, [], np.zeros(0, np.uint32), [], [], 0, 0
 
-    def add(self, doc_ids: list, counts: list[int], ids: np.ndarray) -> None:
-        self.docs += doc_ids
-        self.counts += counts
+    @property
+    def full(self) -> bool:
+        return self.total >= MOST_IDS or self.n_docs >= MOST_DOCS
+
+    def add(self, doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarray) -> None:
+        self.docs.append(doc_ids.cast(pa.int64()))
+        self.counts.append(pa.array(counts, pa.int64()))
+        self.n_docs += len(doc_ids)
         self.total += len(ids)
         ids = np.concatenate([self.rest, ids])
         whole = len(ids) - len(ids) % self.block
@@ -81,7 +88,7 @@ class Writer:
             self._block(self.rest)
         docs_at = self.at
         sink = pa.BufferOutputStream()
-        table = pa.table({"doc_id": pa.array(self.docs, pa.int64()), "n": pa.array(self.counts, pa.int64())})
+        table = pa.table({"doc_id": pa.chunked_array(self.docs, pa.int64()), "n": pa.chunked_array(self.counts, pa.int64())})
         with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_table(table, max_chunksize=1 << 16)
         self._write(sink.getvalue().to_pybytes())
@@ -183,12 +190,19 @@ def _writing(path: str, folder: str, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _workers:
             _workers[path] = Encoded(UnitEncoder(path), most=250_000)
-        known, shard, out = _workers[path], TaskContext.get().partitionId(), None
-        name = f"shard-{shard:06d}.ids"
+        known, shard, out, part = _workers[path], TaskContext.get().partitionId(), None, 0
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            return pa.record_batch([pa.array([shard]), pa.array([out.final.rsplit("/", 1)[-1]]), pa.array([out.n_docs]), pa.array([out.total])], names=["shard", "name", "n_docs", "n_ids"])
+
         end = np.uint32(end_id).tobytes()
         for whole in batches:
             for batch in slices(whole, limit=12 << 20):
-                out = out or Writer(folder, name, kind)
+                if out is not None and out.full:
+                    yield closed()
+                    out, part = None, part + 1
+                out = out or Writer(folder, f"shard-{shard:06d}-{part:05d}.ids", kind)
                 counts, codes, strings = units_of(batch.column(1))
                 values = [*known.values(strings), end]
                 sizes = np.array([len(v) // 4 for v in values], np.int64)
@@ -199,10 +213,9 @@ def _writing(path: str, folder: str, end_id: int, kind: str):
                 place = np.repeat((np.cumsum(sizes) - sizes)[codes] - total[:-1], own) + np.arange(total[-1])
                 ids = np.frombuffer(b"".join(values), np.uint32)[place]
                 ends = ends + np.arange(1, len(ends) + 1)
-                out.add(batch.column(0).to_pylist(), np.diff(total[np.append(0, ends)]).tolist(), ids)
-        if out:
-            out.close()
-            yield pa.record_batch([pa.array([shard]), pa.array([name]), pa.array([len(out.docs)]), pa.array([out.total])], names=["shard", "name", "n_docs", "n_ids"])
+                out.add(batch.column(0), np.diff(total[np.append(0, ends)]), ids)
+        if out is not None:
+            yield closed()
 
     return run
 
@@ -221,7 +234,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = rows.repartitionByRange(shards, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     done = written(ranged.mapInArrow(_writing(path, folder, end_id, kind), "shard long, name string, n_docs long, n_ids long"), "shards")
-    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row a file
+    before = W.orderBy("shard", "name").rowsBetween(W.unboundedPreceding, -1)  # one row a file
     return done.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
