@@ -2,14 +2,14 @@
 
 quality (rejected documents go), exact duplicates (the largest doc_id of equal texts stays), near-duplicates (the
 smallest doc_id of a component stays), mixture to target weights, then byte-level BPE of what is left.
-Rows of one doc_id are one document: a decision holds for all of them. No stage is expressible in DuckDB's SQL as a
+Rows of one doc_id are one document: a decision holds for all of them; rows without a doc_id are decided by their text.
+No stage is expressible in DuckDB's SQL as a
 whole (a learned classifier, seeded water-filling, XXH64), so ORACLE_SQL is None and tests/llm has brute force.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from textloom.llm.bpe import bpe_digests
 from textloom.llm.exact_dedup import exact_dedup
@@ -20,16 +20,16 @@ from textloom.llm.simhash import simhash_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return kept_rows(docs, scores.where("predicted = 1"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return kept_rows(docs, lambda rows: quality_scores(rows, labels).where("predicted = 1"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept_rows(docs, exact_dedup(docs).where("kept"))
+    return kept_rows(docs, lambda rows: exact_dedup(rows).where("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept_rows(docs, simhash_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return kept_rows(docs, lambda rows: simhash_dedup(rows).where("doc_id = component_id"), above=True)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
