@@ -38,7 +38,7 @@ def effect_sizes(values: DataFrame, a: str = "A", b: str = "B", by: str = "featu
     total = n + m
     sd = F.sqrt(F.try_divide(n * m, F.lit(12.0)) * ((total + 1) - F.try_divide(F.col("t"), total * (total - 1))))
     z = F.when(enough & (sd > 0), F.try_divide(F.greatest(F.abs(u - n * m / 2) - 0.5, F.lit(0.0)), sd)).otherwise(NAN)
-    return g.select(by, "n_a", "n_b", "mean_a", "mean_b", "median_a", "median_b", d.alias("cohen_d"), F.when(enough, 2 * F.try_divide(u, n * m) - 1).otherwise(NAN).alias("cliff_delta"), u.alias("u"), z.alias("z"))
+    return g.select(by, "n_a", "n_b", "mean_a", "mean_b", "median_a", "median_b", d.alias("cohen_d"), F.when(enough, 2 * F.try_divide(u, n * m) - 1).otherwise(NAN).alias("cliff_delta"), u.alias("u"), z.alias("z"), F.coalesce(F.col("t") > 0, F.lit(False)).alias("tied"))
 
 
 @F.pandas_udf(DoubleType())
@@ -46,6 +46,14 @@ def two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x == x else NAN)
 
 
+EXACT_MOST = 50
+
+
+@F.pandas_udf(DoubleType())
+def small_sample_p(u: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    return pd.Series([exact_p(*r) for r in zip(u, n, m)], dtype=float)
+
+
 def exact_p(u: float, n: int, m: int) -> float:
     """Two-sided exact p of U without ties, by counting orders."""
     counts = np.ones(1)
@@ -97,7 +105,11 @@ def compare_features(values: DataFrame, labels: tuple[str, str] = ("A", "B"), n_
     if len(set(labels)) != 2:
         raise ValueError("labels must be two different names")
     e = effect_sizes(values, *labels)
-    e = holm(e.withColumn("p_value", two_sided("z")))
+    # exact where there are no ties and both samples are small; the rest by the normal approximation
+    small = ~F.col("tied") & (F.col("n_a") >= 2) & (F.col("n_b") >= 2) & (F.greatest("n_a", "n_b") <= EXACT_MOST)
+    size = lambda c: F.when(small, F.col(c)).otherwise(F.lit(2)).cast("int")
+    exact = small_sample_p(F.when(small, F.col("u")).otherwise(F.lit(2.0)), size("n_a"), size("n_b"))
+    e = holm(e.withColumn("p_value", F.when(small, exact).otherwise(two_sided("z")))).drop("tied")
     out = e.join(bootstrap_median_diff(values, *labels, n_bootstrap=n_bootstrap, seed=seed), "feature", "left")
     return out.orderBy(F.isnan("cliff_delta"), significant(F.abs("cliff_delta")).desc(), "feature")
 

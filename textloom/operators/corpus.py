@@ -20,21 +20,21 @@ def _xlogx(observed: Column, expected: Column) -> Column:
     return F.when((observed > 0) & (expected > 0), observed * F.log(observed / expected)).otherwise(0.0)
 
 
-def _sign(a: Column, b: Column, c: Column, d: Column) -> Column:
+def _direction(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.when(a * d >= b * c, 1.0).otherwise(-1.0)
 
 
 def keyness_log_likelihood(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Signed G2 of frequencies a, b in corpora of c, d words."""
     e1, e2 = c * (a + b) / (c + d), d * (a + b) / (c + d)
-    return _sign(a, b, c, d) * 2 * (_xlogx(a, e1) + _xlogx(b, e2))
+    return _direction(a, b, c, d) * 2 * (_xlogx(a, e1) + _xlogx(b, e2))
 
 
 def keyness_chi2(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Signed chi-squared of the 2 x 2 table with Yates's correction; 0 on an empty margin."""
     n, other = c + d, (c - a) + (d - b)
     gap = F.greatest(F.abs(a * (d - b) - b * (c - a)) - n / 2, F.lit(0.0))
-    return _sign(a, b, c, d) * F.coalesce(F.try_divide(n * gap * gap, c * d * (a + b) * other), F.lit(0.0))
+    return _direction(a, b, c, d) * F.coalesce(F.try_divide(n * gap * gap, c * d * (a + b) * other), F.lit(0.0))
 
 
 def _half(x: Column) -> Column:
@@ -52,7 +52,7 @@ def keyness_log_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 def keyness_bic(a: Column, b: Column, c: Column, d: Column) -> Column:
     g2 = keyness_log_likelihood(a, b, c, d)
-    return _sign(a, b, c, d) * (F.abs(g2) - F.log(c + d))
+    return _direction(a, b, c, d) * (F.abs(g2) - F.log(c + d))
 
 
 def keyness_ell(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -76,7 +76,8 @@ def p_value(g2: pd.Series) -> pd.Series:
 
 def keyness(target: DataFrame, reference: DataFrame, measure: str = "log_likelihood", min_freq: int = 1, positive: bool = True, top_n: int | None = None, n: int = 1, missing: float = 0.0) -> DataFrame:
     """word, freq_target, freq_reference, ipm_target, ipm_reference, score of the words that a corpus has more often
-    than the other (positive=False: less often). reference: words, or a frequency table (word, f).
+    than the other (positive=False: less often), and p_value for log_likelihood and chi2. reference: words, or a frequency
+    table (word, f).
 
     Ranked by score at 12 digits (nan last), then frequency, then word. Only frequency tables are joined.
     """
@@ -90,6 +91,8 @@ def keyness(target: DataFrame, reference: DataFrame, measure: str = "log_likelih
     own = F.col("a") if positive else F.col("b")
     kept = both.where((x > y if positive else x < y) & (own >= min_freq))
     out = kept.select("word", F.col("a").cast("long").alias("freq_target"), F.col("b").cast("long").alias("freq_reference"), (x * 1e6).alias("ipm_target"), (y * 1e6).alias("ipm_reference"), KEYNESS[measure](*map(F.col, "abcd")).alias("score"))
+    if measure in ("log_likelihood", "chi2"):
+        out = out.withColumn("p_value", p_value("score"))
     rank = significant(F.col("score"))
     order = [F.isnan("score"), rank.desc() if positive else rank.asc(), (F.desc("freq_target") if positive else F.desc("freq_reference")), F.asc("word")]
     return out.orderBy(*order).limit(top_n) if top_n else out
@@ -118,11 +121,16 @@ def collocations(ws: DataFrame, window: int = 5, measure: str = "logdice", min_f
     """
     if measure not in COLLOCATIONS or side not in (None, "left", "right"):
         raise ValueError("unknown measure or side")
-    frame = W.partitionBy("doc_id").orderBy("pos").rowsBetween(1, window)
-    near = ws.select(F.col("word").alias("left"), F.collect_list("word").over(frame).alias("near"))
-    pairs = near.select("left", F.explode("near").alias("right"))
-    if node is not None:
-        pairs = pairs.where({"left": F.col("right") == node, "right": F.col("left") == node, None: (F.col("left") == node) | (F.col("right") == node)}[side])
+    order = W.partitionBy("doc_id").orderBy("pos")
+    if node is None or side == "right":
+        rows = ws.select(F.col("word").alias("left"), F.collect_list("word").over(order.rowsBetween(1, window)).alias("near"))
+        pairs = (rows if node is None else rows.where(F.col("left") == node)).select("left", F.explode("near").alias("right"))
+    else:
+        # only windows around the node are exploded
+        rows = ws.select("word", F.collect_list("word").over(order.rowsBetween(-window, -1)).alias("before"), F.collect_list("word").over(order.rowsBetween(1, window)).alias("after")).where(F.col("word") == node)
+        pairs = rows.select(F.explode("before").alias("left"), F.col("word").alias("right"))
+        if side is None:  # a pair of the node with itself is one pair
+            pairs = pairs.where(F.col("left") != node).unionByName(rows.select(F.col("word").alias("left"), F.explode("after").alias("right")))
     counts = pairs.groupBy("left", "right").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= min_freq)
     single = frequencies(ws, [])
     total = single.agg(F.sum("f").cast("double").alias("n"))
@@ -144,12 +152,13 @@ def dispersion(cells: DataFrame, sizes: DataFrame, min_freq: int = 1) -> DataFra
     """
     total = sizes.agg(F.sum("size").cast("double").alias("n"), F.count(F.lit(1)).cast("double").alias("k"), F.min("size").cast("double").alias("least"))
     share = sizes.crossJoin(F.broadcast(total)).select("part", (F.col("size") / F.col("n")).alias("s"), F.col("size").cast("double").alias("size"), "k", (F.col("least") / F.col("n")).alias("min_s"))
-    rows = cells.join(F.broadcast(share), "part").withColumn("total", F.sum("f").over(W.partitionBy("word")).cast("double"))
+    totals = cells.groupBy("word").agg(F.sum("f").cast("double").alias("total")).where(F.col("total") >= min_freq)
+    rows = cells.join(share, "part").join(totals, "word")
     p, s, rel = F.col("f") / F.col("total"), F.col("s"), F.col("f") / F.col("size")
     g = rows.groupBy("word").agg(
         F.max("total").alias("total"), F.count(F.lit(1)).alias("range"), F.sum(F.abs(p - s) - s).alias("d"), F.sum(rel).alias("r1"), F.sum(rel * rel).alias("r2"), F.sum(rel * F.log2(rel)).alias("rl"),
         F.sum(F.sqrt(s * F.col("f"))).alias("q"), F.sum(p * F.log2(p / s)).alias("kl"), F.max("k").alias("k"), F.max("min_s").alias("min_s"),
-    ).where(F.col("total") >= min_freq)
+    )
     dp, k = 0.5 * (1 + F.col("d")), F.col("k")
     cv = F.sqrt(F.greatest(F.col("r2") / k - F.pow(F.col("r1") / k, F.lit(2)), F.lit(0.0))) / (F.col("r1") / k)
     many = k > 1
@@ -194,5 +203,19 @@ def kwic(ws: DataFrame, keyword: str, window: int = 5, ignore_case: bool = True,
     return rows.select(*by, F.col("pos").alias("start"), *(F.array_join(c, " ").alias(c) for c in ("left", "match", "right")))
 
 
+def print_kwic(ws: DataFrame, keyword: str, window: int = 5, width: int = 40, limit: int = 20, **params) -> None:
+    """The first `limit` lines of a concordance, printed."""
+    for r in format_kwic(kwic(ws, keyword, window, **params), width).orderBy("doc_id", "start").limit(limit).collect():
+        print(r.line)
+
+
+def in_context(ws: DataFrame, context: Column, window: int = 5) -> DataFrame:
+    """Words of ws within `window` words of one that `context` takes (and that word itself): the target of a keyness of
+    contexts."""
+    hits = ws.withColumn("_hit", context.cast("int"))
+    w = W.partitionBy("doc_id").orderBy("pos").rowsBetween(-window, window)
+    return hits.withColumn("_near", F.max("_hit").over(w)).where("_near = 1").drop("_hit", "_near")
+
+
 def format_kwic(lines: DataFrame, width: int = 40) -> DataFrame:
     return lines.select("doc_id", "start", F.concat_ws("  ", F.lpad(F.right("left", F.lit(width)), width, " "), F.col("match"), F.rpad(F.left("right", F.lit(width)), width, " ")).alias("line"))

@@ -51,6 +51,17 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", min_len:
     return docs.select(key, F.posexplode(ss).alias("sent_id", "sentence"))
 
 
+def ngram_range(ws: DataFrame, least: int, most: int, key: str = "doc_id", unit: str = "word") -> DataFrame:
+    """key, pos, n, word: n-grams of all lengths from least to most."""
+    out = None
+    for n in range(least, most + 1):
+        part = ngrams(ws, n, key, unit).withColumn("n", F.lit(n))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("most must not be below least")
+    return out
+
+
 def ngrams(ws: DataFrame, n: int, key: str = "doc_id", unit: str = "word") -> DataFrame:
     """key, pos, word: runs of n words of one document, joined by _."""
     if n < 1:
@@ -70,13 +81,13 @@ def char_ngrams(docs: DataFrame, n: int, within_words: bool = False, key: str =
     return rows.select(key, F.explode(grams).alias("ngram"))
 
 
-def most_common(ws: DataFrame, n: int = 10, by: list[str] | None = None, unit: str = "word") -> DataFrame:
-    """The n most frequent units (of each group), ties by the unit."""
+def most_common(ws: DataFrame, n: int = 10, by: list[str] | None = None, unit: str = "word", place: tuple[str, ...] = ("doc_id", "pos")) -> DataFrame:
+    """The n most frequent units (of each group), ties by first occurrence: the least `place`."""
     by = by or []
-    counts = ws.groupBy(*by, unit).agg(F.count(F.lit(1)).alias("freq"))
+    counts = ws.groupBy(*by, unit).agg(F.count(F.lit(1)).alias("freq"), F.min(F.struct(*place)).alias("_first"))
     if not by:
-        return counts.orderBy(F.desc("freq"), unit).limit(n)
-    return counts.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("freq"), unit))).where(F.col("rank") <= n)
+        return counts.orderBy(F.desc("freq"), "_first").limit(n).drop("_first")
+    return counts.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("freq"), "_first"))).where(F.col("rank") <= n).drop("_first")
 
 
 def frequencies(ws: DataFrame, by: list[str] | str = "doc_id", unit: str = "word") -> DataFrame:
@@ -92,10 +103,10 @@ def phrase_spans(ws: DataFrame, phrases: DataFrame, key: str = "doc_id") -> Data
     """
     lengths = [r.n for r in phrases.select(F.size(F.split("phrase", " ")).alias("n")).distinct().orderBy("n").collect()]
     wanted = phrases.select(F.lower("phrase").alias("phrase")).distinct().withColumn("_key", F.regexp_replace("phrase", " ", "_"))
-    found = None
+    found = ws.where("false").select(key, F.col("pos").alias("start"), F.col("pos").alias("end"), F.lit("").alias("phrase"))
     for n in lengths:
         part = ngrams(ws, n, key).join(wanted, F.col("word") == F.col("_key")).select(key, F.col("pos").alias("start"), (F.col("pos") + n).alias("end"), "phrase")
-        found = part if found is None else found.unionByName(part)
+        found = found.unionByName(part)
     spans = F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("minus_end"), "phrase")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,phrase:string>>").alias("out"))
 

@@ -114,7 +114,7 @@ def readability_levels(spark, sf):
     return r.select("doc_id", "consensus_grade", "flesch_reading_easy_level")
 
 
-@query(f"WITH {WORDS} SELECT word, count(*) AS freq FROM w GROUP BY word ORDER BY freq DESC, word LIMIT 50")
+@query(f"WITH {WORDS} SELECT word, count(*) AS freq FROM w GROUP BY word ORDER BY freq DESC, min((doc_id, pos)) LIMIT 50")
 def most_common_words(spark, sf):
     return most_common(words(docs(spark, sf), shuffle=False), 50)
 
@@ -257,9 +257,11 @@ for _m in corpus.KEYNESS:
     _keyness(_m)
 
 PAIRS = f"""{WORDS}, f AS (SELECT word, count(*) AS n FROM w GROUP BY word), t AS (SELECT count(*)::DOUBLE AS n FROM w),
-    c AS (SELECT a.word AS "left", b.word AS "right", count(*) AS freq FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 3 GROUP BY ALL HAVING count(*) >= 8),
+    g AS (SELECT word, lead(word) OVER o AS r1, lead(word, 2) OVER o AS r2, lead(word, 3) OVER o AS r3 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+    c AS (SELECT "left", "right", count(*) AS freq FROM (SELECT word AS "left", r1 AS "right" FROM g UNION ALL SELECT word, r2 FROM g UNION ALL SELECT word, r3 FROM g) WHERE "right" IS NOT NULL GROUP BY ALL HAVING count(*) >= 8),
     x AS (SELECT "left", "right", freq, freq / 3 AS ab, l.n::DOUBLE AS a, r.n::DOUBLE AS b, t.n AS n FROM c JOIN f l ON l.word = "left" JOIN f r ON r.word = "right", t)"""
-COLL_SQL = {"mi": "log2(ab * n / (a * b))", "mi3": "log2(ab * ab * ab * n / (a * b))", "t_score": "(ab - a * b / n) / sqrt(ab)", "dice": "2 * ab / (a + b)", "logdice": "14 + log2(2 * ab / (a + b))", "npmi": "log2(ab * n / (a * b)) / -log2(ab / n)", "min_sensitivity": "least(ab / a, ab / b)"}
+COLL_SQL = {"mi": "log2(ab * n / (a * b))", "mi3": "log2(ab * ab * ab * n / (a * b))", "t_score": "(ab - a * b / n) / sqrt(ab)", "dice": "2 * ab / (a + b)", "logdice": "14 + log2(2 * ab / (a + b))", "npmi": "log2(ab * n / (a * b)) / -log2(ab / n)",
+    "log_likelihood": "CASE WHEN ab > least(a, b) OR n - a - b + ab < 0 THEN 'nan' ELSE 2 * (" + " + ".join(f"CASE WHEN {o} > 0 AND {e} > 0 THEN {o} * ln({o} / ({e})) ELSE 0 END" for o, e in (("ab", "a * b / n"), ("(a - ab)", "a * (n - b) / n"), ("(b - ab)", "(n - a) * b / n"), ("(n - a - b + ab)", "(n - a) * (n - b) / n"))) + ") END", "min_sensitivity": "least(ab / a, ab / b)"}
 
 
 def _collocations(measure: str):

@@ -13,6 +13,8 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.checks import check_integer
+
 FIELDS = ("form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc")
 
 
@@ -38,10 +40,55 @@ def read_conllu(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_conllu(read_texts(spark, path))
 
 
+def with_tokens(dep: DataFrame) -> DataFrame:
+    """doc_id, text (forms between spaces, a sentence a line), tokens: a document's annotation as one array, in order."""
+    fields = ("sent_id", "idx", "form", "lemma", "upos", "feats", "head", "deprel")
+    rows = dep.select("doc_id", F.struct(*(F.col(f).cast("int").alias(f) if f in ("sent_id", "idx", "head") else F.col(f) for f in fields)).alias("t"))
+    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("t")).alias("tokens"))
+    lines = F.transform(F.array_distinct(F.transform("tokens", lambda t: t["sent_id"])), lambda s: F.array_join(F.transform(F.filter("tokens", lambda t: t["sent_id"] == s), lambda t: t["form"]), " "))
+    return docs.select("doc_id", F.array_join(lines, "\n\n").alias("text"), "tokens")
+
+
+def read_annotated(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return with_tokens(read_conllu(spark, path))
+
+
+class Dataset:
+    """A named collection of files: fetched once as an archive into a folder, then read as records of texts.
+
+    url, checksum, folder describe the archive; pattern: which of its files are texts, documents of one file each.
+    """
+
+    def __init__(self, name: str, url: str, folder: str, checksum: str | None = None, pattern: str = "**/*.txt"):
+        if not name or not url:
+            raise ValueError("a dataset needs a name and a url")
+        self.name, self.url, self.folder, self.checksum, self.pattern = name, url, folder, checksum, pattern
+
+    def download(self, force: bool = False) -> str:
+        return fetch_archive(self.url, self.folder, self.checksum, force)
+
+    def files(self) -> list[str]:
+        import glob
+
+        found = sorted(f for f in glob.glob(os.path.join(self.folder, self.pattern), recursive=True) if os.path.isfile(f))
+        if not found:
+            raise FileNotFoundError(f"{self.name} isn't there; download() fetches it")
+        return found
+
+    def records(self, spark: SparkSession, *filters: Column, limit: int | None = None) -> DataFrame:
+        return records(read_texts(spark, self.files()), *filters, limit=check_limit(limit))
+
+    def texts(self, spark: SparkSession, *filters: Column, limit: int | None = None) -> DataFrame:
+        return self.records(spark, *filters, limit=limit).select("text")
+
+
+def check_limit(limit: int | None) -> int | None:
+    return limit if limit is None else check_integer(limit, "limit", 1)
+
+
 def records(df: DataFrame, *filters: Column, limit: int | None = None) -> DataFrame:
     """Records that pass all filters (substring_filter, length_filter, or any other predicate)."""
-    if limit is not None and (isinstance(limit, bool) or not isinstance(limit, int) or limit < 1):
-        raise ValueError("limit must be a positive integer")
+    check_limit(limit)
     for f in filters:
         df = df.where(f)
     return df if limit is None else df.limit(limit)
