@@ -43,10 +43,17 @@ class StatsComponent(Transformer):
             raise SourceError(f"no stage before this one left a column {name}")
         return df.where(F.col(name).isNotNull()).select("doc_id", f"{name}.*")
 
+    #: Whether columns that earlier stages left are read.
+    of_stages = False
+
     def _transform(self, df: DataFrame) -> DataFrame:
-        found = self.compute(self.prepare(df))
+        # statistics are computed of the documents before all stages, so that a chain of stages doesn't repeat itself
+        documents = getattr(df, "_documents", df)
+        found = self.compute(self.prepare(df if self.of_stages else documents))
         cols = [c for c in found.columns if c != "doc_id"]
-        return df.join(found.select("doc_id", F.struct(*cols).alias(self.name)), "doc_id", "left")
+        out = df.join(found.select("doc_id", F.struct(*cols).alias(self.name)), "doc_id", "left")
+        out._documents = documents
+        return out
 
 
 class BasicStatsComponent(StatsComponent):
@@ -60,6 +67,7 @@ class _OfBasicStats(StatsComponent):
     """Reads the column `basic` where an earlier stage left one, so that texts are counted once; basic: another name."""
 
     columns: tuple[str, ...] = ()
+    of_stages = True
 
     def compute(self, df: DataFrame) -> DataFrame:
         options = dict(self.options)
@@ -144,7 +152,7 @@ class MorphStatsComponent(_OfTokens):
     def compute(self, df: DataFrame) -> DataFrame:
         rows = morphology.morph_stats(syntax.with_features(df).where(has_word(F.col("form"))), **{"filter_none": True, **self.options})
         per = rows.groupBy("doc_id", "stat").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("values"))
-        return per.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stat", "values")))).alias("counts"))
+        return per.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("stat", "values"))).alias("counts"))
 
 
 class CohesionStatsComponent(StatsComponent):
