@@ -305,6 +305,19 @@ def test_token_files(odd, none, tmp_path, kind):
     assert token_files.token_files(none).count() == 0
 
 
+def test_units_encode_as_texts_do():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, own, rng = Tokenizer.from_file(path), token_files.UnitEncoder(path), random.Random(12)
+    pieces = ["the", "The", "Zürich", "a", "x9", "12", "é", "中文", "'s", "don't", "...", ".", ",", "!!", "###", "|", "\n", "\n\n", " ", "  ", "\t", "\x1c", "\u00a0", "\u3000", "_", "-", "١٢", "ﬁ", "²"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 9)))
+        counts, codes, strings = units.units_of(pa.array([text]))
+        values, sizes = own(strings)
+        assert token_files.gathered(values, np.cumsum(sizes) - sizes, sizes, codes).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_planes_round_trip():
     ids = np.random.default_rng(1).integers(0, 2**32, 1003, dtype=np.uint32)
     for kind in ("byte", "bit"):
@@ -314,7 +327,7 @@ def test_planes_round_trip():
 def test_units_are_the_text():
     for t in ["a  b", " \n c", "", "x \x1c y", "a　 b", " lead", "trail ", "it's\t\t3"]:
         counts, codes, strings = units.units_of(pa.array([t]))
-        assert "".join(strings[c] for c in codes) == t
+        assert "".join(strings[int(c)].as_py() for c in codes) == t
 
 
 # 6

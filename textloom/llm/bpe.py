@@ -133,7 +133,7 @@ def _encoder(path: str, pattern: str):
         known = _workers[path, pattern]
         for batch in batches:
             counts, codes, strings = units_of(batch.column(1))
-            values = known.values(strings)
+            values = known.values(strings.to_pylist())
             ids, back = np.empty(len(values), object), np.empty(len(values), object)
             ids[:], back[:] = [v[0] for v in values], [v[1] for v in values]
             sizes = np.array([v[2] for v in values], np.int64)

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import opened, shared_folder, slices, written
-from .units import Encoded, units_of
+from .units import units_of
 
 MAGIC, FOOTER = b"TLIDS001", struct.Struct("<8sBIQQQQ")
 BLOCK = 1 << 16
@@ -142,61 +143,107 @@ NEW_LINE = "\n"
 
 
 class UnitEncoder:
-    """units -> ids (uint32, as bytes) by the tokenizers library.
+    """Units -> their ids, by the tokenizers library.
 
-    A word and the marks after it are separate matches of the pattern, so stems are encoded once for all their marks.
-    Plain units go in lines of many, since a call for each costs more than its ids; a new line between two is a match,
-    and an id, of its own.
+    A word, the marks after it and a new line before it are separate matches of the pattern, so stems are encoded once
+    for all their marks. Plain pieces go in lines of many, since a call for each costs more than its ids; a new line
+    between two is a match, and an id, of its own. What is known of pieces stays, up to `most` of them.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 650_000, at_once: int = 60_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         line = self.tokenizer.encode(NEW_LINE, add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
-        self.stems = Encoded(self.direct, 450_000)
-
-    def __call__(self, units: list[str]) -> list[bytes]:
-        parts = []
-        for u in units:
-            stem = u.rstrip(MARKS)
-            parts.append((stem, u[len(stem) :]) if len(stem) < len(u) and stem[1:].isalpha() and (stem[0] == " " or stem[0].isalpha()) else (u, ""))
-        pieces = list({p: None for x in parts for p in x if p})
-        known = dict(zip(pieces, self.stems.values(pieces))) | {"": b""}
-        return [known[a] + known[b] if b else known[a] for a, b in parts]
-
-    def direct(self, units: list[str]) -> list[bytes]:
-        out: list = [None] * len(units)
-        lines = [i for i, u in enumerate(units) if self.line is not None and u.isprintable() and " " not in u[1:] and u[:2].strip()]
+        self.most, self.at_once = most, at_once
+        self._forget()
+
+    def _forget(self) -> None:
+        #: piece -> place in starts and sizes; ids are in blocks that are joined when they are read.
+        self.known: dict[str, int] = {}
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def __call__(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all units in order, and how many each has."""
+        if len(self.known) > self.most:
+            self._forget()
+        n = len(units)
+        headed = pc.match_substring_regex(units, r"^\n[\p{L}\p{N}]") if self.line is not None else pa.array(np.zeros(n, bool))
+        body = pc.if_else(headed, pc.utf8_slice_codeunits(units, 1), units)
+        stem = pc.utf8_rtrim(body, characters=MARKS)
+        parted = pc.and_(pc.less(pc.binary_length(stem), pc.binary_length(body)), pc.match_substring_regex(stem, r"^[ \p{L}]\p{L}+$"))
+        main = pc.if_else(parted, stem, body)
+        tails = pc.replace_substring_regex(body.filter(parted), r"^[ \p{L}]\p{L}+", "")
+        pieces = pa.concat_arrays([pa.array([NEW_LINE], main.type), main, tails.cast(main.type)]).dictionary_encode()
+        codes = self._codes(pieces.dictionary.to_pylist())[pieces.indices.to_numpy(zero_copy_only=False)]
+        # a unit's pieces in order: the new line, the stem, the marks
+        with_tail, with_head = parted.to_numpy(zero_copy_only=False), headed.to_numpy(zero_copy_only=False)
+        own = np.zeros((n, 3), np.int64)
+        own[:, 0], own[:, 1] = codes[0], codes[1 : n + 1]
+        own[with_tail, 2] = codes[n + 1 :]
+        there = np.column_stack([with_head, np.ones(n, bool), with_tail])
+        sizes = np.where(there, self.sizes[own], 0)
+        flat = own[there]
+        return gathered(self.ids, np.cumsum(self.sizes) - self.sizes, self.sizes, flat), sizes.sum(1)
+
+    def _codes(self, pieces: list[str]) -> np.ndarray:
+        found = list(map(self.known.get, pieces))
+        missing = [i for i, c in enumerate(found) if c is None]
+        for at in range(0, len(missing), self.at_once):
+            part = [pieces[i] for i in missing[at : at + self.at_once]]
+            order, ids, sizes = self._encoded(part)
+            first = len(self.sizes)
+            self.ids, self.sizes = np.concatenate([self.ids, *ids]), np.concatenate([self.sizes, *sizes])
+            self.known.update(zip((part[k] for k in order), range(first, first + len(order))))
+        for i in missing:
+            found[i] = self.known[pieces[i]]
+        return np.array(found, np.int64)
+
+    def _encoded(self, pieces: list[str]) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+        """Which pieces come in which order, their ids in blocks, and their numbers of ids in blocks."""
+        # a word, or other printable characters without white space but a space at its start
+        plain = lambda u: u.isalnum() or u[1:].isalnum() and u[0] == " " or u.isprintable() and " " not in u[1:] and u[:2].strip()
+        lines = [i for i, u in enumerate(pieces) if u and self.line is not None and plain(u)]
         groups = [lines[at : at + 50] for at in range(0, len(lines), 50)]
-        for own, e in zip(groups, self.tokenizer.encode_batch_fast([NEW_LINE.join([units[i] for i in own]) for own in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.line)
+        order, ids, sizes, single = [], [], [], np.ones(len(pieces), bool)
+        for own, e in zip(groups, self.tokenizer.encode_batch_fast([NEW_LINE.join([pieces[i] for i in own]) for own in groups], add_special_tokens=False)):
+            found = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(found == self.line)
             if len(cuts) == len(own) - 1:
-                for i, a, z in zip(own, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
-                    out[i] = ids[a:z].tobytes()
-        rest = [i for i, v in enumerate(out) if v is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.uint32).tobytes()
-        return out
+                order += own
+                ids.append(found[found != self.line])
+                sizes.append(np.diff(np.concatenate([[-1], cuts, [len(found)]])) - 1)
+        single[order] = False
+        rest = np.flatnonzero(single).tolist()
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
+            order.append(i)
+            ids.append(np.array(e.ids, np.uint32))
+            sizes.append(np.array([len(e.ids)], np.int64))
+        return order, ids, sizes
 
 
-_workers: dict[str, Encoded] = {}
+def gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The ids of the codes, one after another; code c has sizes[c] ids from starts[c] on."""
+    own = sizes[codes]
+    ends = np.cumsum(own)
+    return ids[np.repeat(starts[codes] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+_workers: dict[str, UnitEncoder] = {}
 
 
 def _writing(path: str, folder: str, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _workers:
-            _workers[path] = Encoded(UnitEncoder(path), most=250_000)
+            _workers[path] = UnitEncoder(path)
         known, shard, out, part = _workers[path], TaskContext.get().partitionId(), None, 0
 
         def closed() -> pa.RecordBatch:
             out.close()
             return pa.record_batch([pa.array([shard]), pa.array([out.final.rsplit("/", 1)[-1]]), pa.array([out.n_docs]), pa.array([out.total])], names=["shard", "name", "n_docs", "n_ids"])
 
-        end = np.uint32(end_id).tobytes()
         for whole in batches:
             for batch in slices(whole, limit=12 << 20):
                 if out is not None and out.full:
@@ -204,14 +251,12 @@ def _writing(path: str, folder: str, end_id: int, kind: str):
                     out, part = None, part + 1
                 out = out or Writer(folder, f"shard-{shard:06d}-{part:05d}.ids", kind)
                 counts, codes, strings = units_of(batch.column(1))
-                values = [*known.values(strings), end]
-                sizes = np.array([len(v) // 4 for v in values], np.int64)
+                values, sizes = known(strings)
+                values, sizes = np.append(values, np.uint32(end_id)), np.append(sizes, 1)
                 ends = np.cumsum(counts)
-                codes = np.insert(codes, ends, len(values) - 1)  # the end id after each document
-                own = sizes[codes]
-                total = np.append(0, np.cumsum(own))
-                place = np.repeat((np.cumsum(sizes) - sizes)[codes] - total[:-1], own) + np.arange(total[-1])
-                ids = np.frombuffer(b"".join(values), np.uint32)[place]
+                codes = np.insert(codes, ends, len(sizes) - 1)  # the end id after each document
+                ids = gathered(values, np.cumsum(sizes) - sizes, sizes, codes)
+                total = np.append(0, np.cumsum(sizes[codes]))
                 ends = ends + np.arange(1, len(ends) + 1)
                 out.add(batch.column(0), np.diff(total[np.append(0, ends)]), ids)
         if out is not None:
