@@ -242,3 +242,40 @@ def test_phrases_of_more_than_64_lengths(spark):
     ws = spark.range(70).selectExpr("1L AS doc_id", "cast(id AS int) AS pos", "concat('w', id) AS word").coalesce(1)
     phrases = spark.createDataFrame([(" ".join(["other"] * n),) for n in range(1, 65)] + [(" ".join(f"w{i}" for i in range(65)),)], "phrase string")
     assert [(r.start, r.end) for r in phrase_spans(ws, phrases).collect()] == [(0, 65)]
+
+
+def test_places(spark):
+    from textloom.operators import spans
+
+    df = spark.createDataFrame([(1, "So, it is late - very late"), (2, "It rains.\nWe stay\nhome.\n\nIt stops."), (3, None), (4, "well-known \u00abfact\u00bb")], "doc_id long, text string")
+    at = lambda rows, d: sorted(r.pos for r in rows.where(f"doc_id = {d}").collect())
+    assert at(spans.marks(df), 1) == [1, 4] and at(spans.marks(df), 4) == []
+    assert at(spans.paragraph_words(df), 2) == [2, 4, 5] and at(spans.paragraph_words(df, True), 2) == [5]
+    words = spark.createDataFrame([(1, x) for x in (0, 4, 10, 14, 20)], "doc_id long, start long")
+    cuts = spark.createDataFrame([(1, 0, 9), (1, 9, 10), (1, 10, 19), (1, 20, 24)], "doc_id long, start long, end long")
+    assert sorted((r.start, r.n_words) for r in spans.words_by_spans(words, cuts).collect()) == [(0, 2), (10, 2), (20, 1)]
+    tokens = spans.token_spans(df)
+    assert [(r.word, r.start, r.end) for r in spans.word_at(tokens, 4).where("doc_id = 1").collect()] == [("it", 4, 6)]
+    assert [r.word for r in spans.document_part(tokens, 1, 3).where("doc_id = 2").orderBy("pos").collect()] == ["rains", "We"]
+    phrases = spark.createDataFrame([("it is", "temporal", "primary"), ("late", "other", "primary")], "phrase string, cls string, kind string")
+    assert sorted((r.start, r.end, r.layer) for r in spans.connector_highlights(df, phrases).collect()) == [(4, 9, "temporal"), (10, 14, "other"), (22, 26, "other")]
+    assert spans.zipf_theory(12, 3) == [(1, 12.0), (2, 6.0), (3, 4.0)]
+
+
+def test_rules_of_connectors(spark):
+    from textloom.operators import cohesion
+
+    words = spark.createDataFrame([(1, s, p, w, t) for s, p, w, t in [(0, 0, "but", "CCONJ"), (0, 1, "since", "SCONJ"), (0, 2, "then", "ADV"), (1, 3, "since", "ADP"), (1, 4, "monday", "NOUN"), (1, 5, "because", "SCONJ")]], "doc_id long, sent_id int, pos int, word string, upos string")
+    rules = spark.createDataFrame([("but", "adversative", "primary", None, None), ("since", "causal", "subordinating", "SCONJ", ["then"]), ("because", "causal", "subordinating", None, None)], "phrase string, cls string, kind string, pos string, not_before array<string>")
+    plain = cohesion.connectors(words, rules.drop("pos", "not_before")).first()
+    assert plain.c_connectors == {"but": 1, "since": 2, "because": 1} and plain.c_classes == {"adversative": 1, "causal": 3} and round(plain.connectors_inter, 3) == round(1000 / 6, 3)
+    ruled = cohesion.connectors(words, rules).first()
+    assert ruled.c_connectors == {"but": 1, "because": 1} and ruled.c_kinds == {"primary": 1, "subordinating": 1}
+
+
+def test_small_samples_are_exact(spark):
+    from textloom.operators import compare
+
+    rows = [("x", "A", str(i), v) for i, v in enumerate([1.0, 2.0, 3.0, 4.5])] + [("x", "B", str(i), v) for i, v in enumerate([4.0, 5.0, 6.0, 7.0])]
+    got = compare.compare_features(spark.createDataFrame(rows, "feature string, corpus string, text string, value double"), n_bootstrap=50).first()
+    assert abs(got.p_value - compare.exact_p(1.0, 4, 4)) < 1e-12 and abs(got.p_value - 4 / 70) < 1e-12

@@ -129,3 +129,16 @@ def paragraph_starts(docs: DataFrame) -> DataFrame:
     """doc_id, n_paragraphs, n_lines."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select("doc_id", F.size(F.filter(F.split(text, BLANK_LINE), has_word)).alias("n_paragraphs"), F.size(F.filter(F.split(text, LINE_BREAK), has_word)).alias("n_lines"))
+
+
+def to_dataframe(stats: DataFrame, descriptions: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, stat, description, value: numbers of each document as rows, in the order of the columns."""
+    names = [c for c, t in stats.dtypes if c != "doc_id" and t in ("int", "bigint", "double", "float")]
+    rows = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(c).alias("stat"), F.lit((descriptions or {}).get(c, c)).alias("description"), F.col(c).cast("double").alias("value")) for i, c in enumerate(names)))
+    return stats.select("doc_id", F.inline(rows))
+
+
+def print_stats(stats: DataFrame, doc_id, descriptions: dict[str, str] | None = None) -> None:
+    """The statistics of one document, a line each."""
+    for r in to_dataframe(stats.where(F.col("doc_id") == doc_id), descriptions).orderBy("place").collect():
+        print(f"{r.description:<40}{r.value:>14.4f}")

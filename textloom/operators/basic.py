@@ -78,14 +78,26 @@ def median_of(values: list[Column]) -> Column:
     return F.get(ordered, F.lit(n // 2)) if n % 2 else (F.get(ordered, F.lit(n // 2 - 1)) + F.get(ordered, F.lit(n // 2))) / 2
 
 
-def readability(stats: DataFrame, wpm: float = 238.0) -> DataFrame:
-    """Adds the readability formulas to basic statistics. Zero denominators give nan."""
+#: Coefficients of the formulas that adaptations to a language change, in the order they stand in.
+COEFFICIENTS = {"flesch_reading_easy": (1.015, 84.6, 206.835), "flesch_kincaid_grade": (0.39, 11.8, 15.59), "coleman_liau_index": (5.88, 29.6, 15.8), "automated_readability_index": (4.71, 0.5, 21.43), "smog_index": (1.043, 30.0, 3.1291), "gunning_fog_index": (0.4,)}
+
+
+def readability(stats: DataFrame, wpm: float = 238.0, preset: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
+    """Adds the readability formulas to basic statistics. Zero denominators give nan.
+
+    preset: other COEFFICIENTS of some formulas, as an adaptation to a language has them.
+    """
+    unknown = set(preset or {}) - set(COEFFICIENTS)
+    if unknown or any(len(v) != len(COEFFICIENTS[k]) for k, v in (preset or {}).items()):
+        raise ValueError(f"a preset has coefficients of {', '.join(COEFFICIENTS)}, as many as the formula has")
+    c = COEFFICIENTS | (preset or {})
+    kincaid, coleman, automated, smog, fog = (c[k] for k in ("flesch_kincaid_grade", "coleman_liau_index", "automated_readability_index", "smog_index", "gunning_fog_index"))
     per_word = lambda c: 100 * _d(c, "n_words")
     w_s, types = _d("n_words", "n_sents"), F.col("n_unique_words")
     df = stats.withColumns({
-        "flesch_reading_easy": flesch_reading_easy(), "flesch_kincaid_grade": 0.39 * w_s + 11.8 * _d("n_syllables", "n_words") - 15.59,
-        "coleman_liau_index": 5.88 * _d("n_word_letters", "n_words") - 29.6 * _d("n_sents", "n_words") - 15.8, "automated_readability_index": 4.71 * _d("n_word_letters", "n_words") + 0.5 * w_s - 21.43,
-        "smog_index": 1.043 * F.sqrt(30 * _d("n_complex_words", "n_sents")) + 3.1291, "gunning_fog_index": 0.4 * (w_s + per_word("n_complex_words")),
+        "flesch_reading_easy": flesch_reading_easy(*c["flesch_reading_easy"]), "flesch_kincaid_grade": kincaid[0] * w_s + kincaid[1] * _d("n_syllables", "n_words") - kincaid[2],
+        "coleman_liau_index": coleman[0] * _d("n_word_letters", "n_words") - coleman[1] * _d("n_sents", "n_words") - coleman[2], "automated_readability_index": automated[0] * _d("n_word_letters", "n_words") + automated[1] * w_s - automated[2],
+        "smog_index": smog[0] * F.sqrt(smog[1] * _d("n_complex_words", "n_sents")) + smog[2], "gunning_fog_index": fog[0] * (w_s + per_word("n_complex_words")),
         "lix": w_s + per_word("n_long_words"), "rix": _d("n_long_words", "n_sents"), "reading_time": (F.col("n_words") + F.col("n_numbers")) / wpm,
         "forcast": _d(20 * F.col("n_words") - 15 * F.col("n_short_words"), "n_words"),
         "powers_sumner_kearl": 0.0778 * w_s + 4.55 * _d("n_syllables", "n_words") - 2.2029, "eflaw": _d(F.col("n_words") + F.col("n_mini_words"), "n_sents"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,9 +28,15 @@ def count_hiatus(word: Column, vowels: str = VOWELS) -> Column:
     return F.regexp_count(word, F.lit(f"[{vowels}]{{2,}}"))
 
 
-def phon_stats(ws: DataFrame, vowels: str = VOWELS, sonorants: str = SONORANTS, voiced: str = VOICED, voiceless: str = VOICELESS, by: str = "doc_id") -> DataFrame:
+def phon_stats(ws: DataFrame, vowels: str = VOWELS, sonorants: str = SONORANTS, voiced: str = VOICED, voiceless: str = VOICELESS, by: str = "doc_id", transcribe: Callable[[Column], Column] | None = None, skipped: str = "") -> DataFrame:
+    """transcribe: a language's hook, an expression of a word whose letters are its sounds; skipped: signs that are no
+    sounds and don't part a cluster. Words are their letters by default."""
     consonants = sonorants + voiced + voiceless
     freq = ws.groupBy(by, "word").agg(F.count(F.lit(1)).alias("f"))
+    if transcribe is not None:
+        freq = freq.withColumn("word", transcribe(F.col("word")))
+    if skipped:
+        freq = freq.withColumn("word", F.regexp_replace("word", f"[{skipped}]", ""))
     count = lambda chars: F.regexp_count("word", F.lit(f"[{chars}]")) * F.col("f")
     clusters = consonant_clusters(F.col("word"), consonants)
     pattern = cv_pattern(F.col("word"), vowels, consonants)

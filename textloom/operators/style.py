@@ -75,3 +75,23 @@ def verbal_nouns(ws: DataFrame, flag: str = "verbal", by: str = "doc_id") -> Dat
 
 def top_words(ws: DataFrame, n: int = TOP_N, by: str = "doc_id") -> DataFrame:
     return frequencies(ws, by).withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc("f"), "word"))).where(F.col("rank") <= n)
+
+
+def expand_phrases(phrases: DataFrame, variants: DataFrame | None = None) -> DataFrame:
+    """variant, phrase: every phrase as it is, and the variants (variant, phrase) of those that are there."""
+    own = phrases.select(F.lower("phrase").alias("variant"), F.lower("phrase").alias("phrase")).distinct()
+    if variants is None:
+        return own
+    more = variants.select(F.lower("variant").alias("variant"), F.lower("phrase").alias("phrase")).join(own.select("phrase"), "phrase", "left_semi")
+    return own.unionByName(more.select("variant", "phrase")).distinct()
+
+
+def markers(ws: DataFrame, lists: dict[str, DataFrame], by: str = "doc_id") -> DataFrame:
+    """by, metric, found: the phrases of each list (metric -> phrase) in the order of the text, repetitions included."""
+    out = None
+    for metric, phrases in lists.items():
+        found = phrase_spans(ws, phrases, by).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "phrase"))), lambda x: x["phrase"]).alias("found")).select(by, F.lit(metric).alias("metric"), "found")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        raise ValueError("markers need a list of phrases")
+    return out

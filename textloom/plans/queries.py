@@ -489,3 +489,53 @@ def stats_by_lines(spark, sf):
     SELECT n::BIGINT AS n, ngram, f FROM c UNION ALL SELECT n::BIGINT, ngram, f FROM e""")
 def word_tree(spark, sf):
     return rounded(assembly.word_tree(words(docs(spark, sf)), "that", 3))
+
+
+from ..operators import spans as places  # noqa: E402
+
+SPANS = r"""x AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}_][\p{L}\p{N}_\p{M}\x{AD}\x{200C}\x{200D}]*') AS m, string_split_regex(text, '[\p{L}\p{N}_][\p{L}\p{N}_\p{M}\x{AD}\x{200C}\x{200D}]*') AS g FROM documents),
+    y AS (SELECT doc_id, text, generate_subscripts(m, 1) AS i, unnest(m) AS word, unnest(g[1:len(m)]) AS gap FROM x), z AS (SELECT doc_id, text, word, (sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS "end" FROM y),
+    w AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY "end") - 1 AS pos, "end" - length(word) AS start, "end", word FROM z WHERE regexp_matches(word, '[\p{L}\p{N}]')),
+    h AS (SELECT doc_id, pos, substr(text, b + 1, start - b) AS gap FROM (SELECT *, lag("end") OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM w) WHERE b IS NOT NULL)"""
+
+
+@query(f'WITH {SPANS} SELECT doc_id, pos, start, "end", word FROM w')
+def token_spans(spark, sf):
+    return rounded(places.token_spans(docs(spark, sf)))
+
+
+@query(f"WITH {SPANS}" + r" SELECT doc_id, pos FROM h WHERE gap <> '-' AND regexp_matches(regexp_replace(gap, '[\p{Pi}\p{Pf}\"''„‚]', '', 'g'), '[\p{P}\p{S}\p{M}]')")
+def word_marks(spark, sf):
+    return rounded(places.marks(docs(spark, sf)))
+
+
+@query(f"WITH {SPANS}" + r" SELECT doc_id, pos FROM h WHERE regexp_matches(gap, '\r\n|\r|\n')")
+def paragraph_words(spark, sf):
+    return rounded(places.paragraph_words(docs(spark, sf)))
+
+
+@query(f'WITH {SPANS} SELECT doc_id, start // 100 * 100 AS start, start // 100 * 100 + 100 AS "end", count(*) AS n_words FROM w GROUP BY ALL')
+def words_by_spans(spark, sf):
+    d = docs(spark, sf)
+    cut = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 100).cast("int"))).alias("i")).select("doc_id", (F.col("i") * 100).alias("start"), (F.col("i") * 100 + 100).alias("end"))
+    return rounded(places.words_by_spans(places.token_spans(d), cut))
+
+
+@query(f"WITH {WORDS}, a AS (SELECT doc_id, word, n, CASE n WHEN 1 THEN word WHEN 2 THEN word || '_' || x ELSE word || '_' || x || '_' || y END AS g FROM (SELECT doc_id, word, lead(word) OVER o AS x, lead(word, 2) OVER o AS y FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)), (VALUES (1), (2), (3)) t(n)) SELECT n::BIGINT AS n, g AS word, count(*) AS freq FROM a WHERE g IS NOT NULL GROUP BY ALL HAVING count(*) >= 5")
+def ngram_range(spark, sf):
+    from ..operators.words import ngram_range as grams
+
+    return rounded(grams(words(docs(spark, sf)), 1, 3).groupBy("n", "word").agg(F.count(F.lit(1)).alias("freq")).where("freq >= 5"))
+
+
+@query(f"WITH {COUNTS} SELECT doc_id, round(208.0 - 1.3 * (n_words / n_sents) - 60.1 * (n_syllables / n_words), 5) AS flesch_reading_easy, round(0.5 * (n_words / n_sents + 100 * n_complex_words / n_words), 5) AS gunning_fog_index FROM s")
+def readability_preset(spark, sf):
+    r = basic.readability(basic.basic_stats(docs(spark, sf)), preset={"flesch_reading_easy": (1.3, 60.1, 208.0), "gunning_fog_index": (0.5,)})
+    return rounded(r.select("doc_id", "flesch_reading_easy", "gunning_fog_index"), 5)
+
+
+@query(f"""WITH {WORDS}, g AS (SELECT doc_id, pos, word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM w), h AS (SELECT doc_id, pos, CASE WHEN word = 'of' AND nx = 'the' THEN 'of the' WHEN word = 'of' THEN 'of' END AS p FROM g)
+    SELECT doc_id, 'prepositions' AS metric, string_agg(p, ' ' ORDER BY pos) AS found FROM h WHERE p IS NOT NULL GROUP BY doc_id""")
+def style_markers(spark, sf):
+    lists = {"prepositions": spark.createDataFrame([("of the",), ("of",)], "phrase string")}
+    return style.markers(words(docs(spark, sf)), lists).select("doc_id", "metric", F.array_join("found", " ").alias("found"))
