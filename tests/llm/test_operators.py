@@ -14,6 +14,7 @@ import pytest
 import xxhash
 
 import public_tokenizers
+from tests.llm import brute
 from textloom.llm import bpe, exact_dedup, line_crf, lm, mixing, passages, pii, quality, simhash, token_files, units
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -349,7 +350,25 @@ def test_mixing(odd, none):
     assert mixing.mix(none).count() == 0 and set(mixing.mixed_documents(odd).columns) == set(odd.columns)
 
 
+def test_mixing_by_sorting_whole_leaves(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join("w" for _ in range(rng.choice([0, 1, 5, 40]))), rng.choice(["en", "en", "en", "fr", None]), rng.choice(["src0", "src0", "src1", "src12", "other", None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for share, epochs in ((0.5, 1.0), (0.9, 2.0), (1.7, 3.0), (5.0, 2.0)):
+        got = {r.doc_id: r.copies for r in mixing.mix(df, share, epochs).collect()}
+        want = brute.mixture(spark, rows, share, epochs)
+        assert [got[d] for d, *_ in rows] == want, (share, epochs)
+
+
 # 7
+def test_scores_are_those_of_the_densities(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows, labels = [(r.doc_id, r.text) for r in docs.collect()], {r.doc_id: r.quality for r in known.collect()}
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, known).collect()}
+    assert np.allclose([got[d] for d, _ in rows], brute.quadratic_scores(rows, labels), atol=1e-6)
+
+
 def test_quality_classifier(spark, odd, none, labels):
     got = quality.quality_scores(odd, labels).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
