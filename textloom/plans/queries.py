@@ -528,10 +528,10 @@ def ngram_range(spark, sf):
     return rounded(grams(words(docs(spark, sf)), 1, 3).groupBy("n", "word").agg(F.count(F.lit(1)).alias("freq")).where("freq >= 5"))
 
 
-@query(f"WITH {COUNTS} SELECT doc_id, round(208.0 - 1.3 * (n_words / n_sents) - 60.1 * (n_syllables / n_words), 5) AS flesch_reading_easy, round(0.5 * (n_words / n_sents + 100 * (n_complex_words / n_words)), 5) AS gunning_fog_index FROM s")
+@query(f"WITH {COUNTS} SELECT doc_id, round(208.0 - 1.3 * (n_words / n_sents) - 60.1 * (n_syllables / n_words), 6) AS flesch_reading_easy, round(0.5 * (n_words / n_sents + 100 * (n_complex_words / n_words)), 6) AS gunning_fog_index FROM s")
 def readability_preset(spark, sf):
     r = basic.readability(basic.basic_stats(docs(spark, sf)), preset={"flesch_reading_easy": (1.3, 60.1, 208.0), "gunning_fog_index": (0.5,)})
-    return rounded(r.select("doc_id", "flesch_reading_easy", "gunning_fog_index"), 5)
+    return rounded(r.select("doc_id", "flesch_reading_easy", "gunning_fog_index"))
 
 
 @query(f"""WITH {WORDS}, g AS (SELECT doc_id, pos, word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM w), h AS (SELECT doc_id, pos, CASE WHEN word = 'of' AND nx = 'the' THEN 'of the' WHEN word = 'of' THEN 'of' END AS p FROM g)
