@@ -520,3 +520,16 @@ def test_long_words():
     e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=b.ranks, special_tokens={})
     for u in ["a" * 1000, "aab" * 400, "ofthstthornderha" * 100, "  x", "\n \n  ab  c ", "it's 12 3!?é", "中文" * 300]:
         assert b.units([u])[0][0] == " ".join(map(str, e.encode_ordinary(u))).encode()
+
+
+def test_texts_are_encoded_in_bounded_slices(monkeypatch):
+    sizes, at_once = [], []
+    units_of, encode = bpe.units_of, bpe.Bpe.words
+    monkeypatch.setattr(bpe, "units_of", lambda c: (sizes.append(c.nbytes), units_of(c))[1])
+    monkeypatch.setattr(bpe.Bpe, "words", lambda b, words: (at_once.append(len(words)), encode(b, words))[1])
+    monkeypatch.setattr(bpe, "_workers", {})
+    texts = [" ".join(f"{i}x{k}" for k in range(3000)) for i in range(300)]
+    run = bpe._encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    batch = pa.record_batch([pa.array(range(300)), pa.array(texts)], names=["doc_id", "text"])
+    assert batch.nbytes > 5e6 and [i for out in run(iter([batch])) for i in out.column(0).to_pylist()] == list(range(300))
+    assert max(sizes) <= (3 << 20) + 8 * 301 and max(at_once) <= 20_000

@@ -13,11 +13,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import release, slices
 from .units import Encoded, units_of
 
 #: Words of more bytes contract every place of their lowest pair at once; the others one place a round.
 LONG = 200
 
+#: Words or units that are encoded at once, and bytes of text: what a worker needs besides its caches is in proportion.
+AT_ONCE, SLICE = 20_000, 3 << 20
+
 #: One round over rows (word, place, token, the token after it, and their rank in the merge table): each word's leftmost
 #: pair of minimum rank becomes one token, and only the two pairs that this changes are looked up again. Words without
 #: a pair leave. key: rank and place in one number.
@@ -72,7 +76,7 @@ class Bpe:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.pattern, self.known = regex.compile(pattern), Encoded(self.words, 400_000)
+        self.pattern, self.known = regex.compile(pattern), Encoded(self.words, 400_000, AT_ONCE)
         rows = [(self.ranks[p[:i]], self.ranks[p[i:]], k) for p, k in self.ranks.items() for i in range(1, len(p)) if p[:i] in self.ranks and p[i:] in self.ranks]
         early = {t for a, b, k in rows for t in (a, b) if k <= t}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
@@ -129,9 +133,10 @@ _workers: dict[tuple[str, str], Encoded] = {}
 def _encoder(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (path, pattern) not in _workers:
-            _workers[path, pattern] = Encoded(Bpe(path, pattern).units)
+            release()
+            _workers[path, pattern] = Encoded(Bpe(path, pattern).units, at_once=AT_ONCE)
         known = _workers[path, pattern]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, limit=SLICE)):
             counts, codes, strings = units_of(batch.column(1))
             values = known.values(strings.to_pylist())
             ids, back = np.empty(len(values), object), np.empty(len(values), object)
@@ -145,6 +150,7 @@ def _encoder(path: str, pattern: str):
                 hashes[1].append(hashlib.sha256(b"".join(back[own])).hexdigest())
             total = np.append(0, np.cumsum(sizes[codes])) if len(codes) else np.zeros(1, np.int64)
             yield pa.record_batch([batch.column(0), pa.array(total[ends] - total[ends - counts]), pa.array(hashes[0]), pa.array(hashes[1])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            release()
 
     return run
 
