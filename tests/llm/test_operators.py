@@ -260,6 +260,22 @@ def test_passages_behind_earlier_fragments(spark):
     assert (37, 18, 60, 140) in got
 
 
+def test_all_holders_of_a_seed_meet(spark):
+    seed, doc, at = np.repeat(np.array([7, 9], np.uint32), [40, 1]), np.append(np.repeat(np.arange(20), 2), 3), np.append(np.arange(40), 5).astype(np.int32)
+    for most in (1, 50, 10_000):
+        got = Counter(m for part in passages.seed_matches(seed, doc, at, most) for m in zip(*(c.tolist() for c in part)))
+        assert got == Counter((i // 2, j // 2, i, j) for i in range(40) for j in range(40) if j // 2 < i // 2)
+    # two fuzzy copies whose common seeds are all held by a dozen fragments before, between and behind them
+    rng = random.Random(14)
+    words = lambda n: [f"v{rng.randint(0, 50000)}" for _ in range(n)]
+    whole = words(80)
+    fuzzy = [w if i % 10 else "changed" for i, w in enumerate(whole, 1)]
+    fragments = lambda: [words(9) + whole[x : x + 12] + words(30) for x in range(0, 69, 4) for _ in range(12)]
+    docs = [*fragments(), words(20) + whole + words(9), *fragments(), words(5) + fuzzy + words(20), *fragments()]
+    n = len(fragments())
+    assert (2 * n + 1, n) in {r[:2] for r in passages_of(spark, docs)}
+
+
 @pytest.mark.parametrize("every", [25, 10, 8, 6, 5])
 def test_fuzzy_passages_of_every_similarity(spark, every):
     rng = random.Random(every)
