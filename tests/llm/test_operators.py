@@ -276,6 +276,46 @@ def test_all_holders_of_a_seed_meet(spark):
     assert (2 * n + 1, n) in {r[:2] for r in passages_of(spark, docs)}
 
 
+def test_runs_of_one_word_meet_from_their_ends(spark):
+    doc, at = np.repeat([1, 2], [300, 200]), np.append(np.arange(300) + 40, np.arange(200) + 10).astype(np.int32)
+    got = [m for part in passages.seed_matches(np.zeros(500, np.uint32), doc, at) for m in zip(*(c.tolist() for c in part))]
+    assert len(got) == 400 and {(a - b) for _, _, a, b in got} == {10 - 40, 209 - 339}  # 60,000 would say no more
+    rng = random.Random(15)
+    words = lambda n: [f"v{rng.randint(0, 50000)}" for _ in range(n)]
+    both = words(60)
+    docs = [words(9) + ["and"] * 300 + both + words(9), words(30) + ["and"] * 200 + both]
+    assert passages_of(spark, docs) == [(1, 0, 30, 290)]
+
+
+def test_lines_of_many_documents(spark):
+    rng = random.Random(16)
+    words = lambda n: [f"v{rng.randint(0, 50000)}" for _ in range(n)]
+    line, more = words(13), words(37)
+    fuzzy = [w if i % 4 else "changed" for i, w in enumerate(more, 1)]  # no four equal words in a row
+    docs = [words(60) + line + words(60) for _ in range(200)]
+    docs[50], docs[150] = words(9) + line + more + words(30), words(20) + line + fuzzy + words(9)
+    n, hashes = passages.word_hashes(pa.array([" ".join(d) for d in docs]))
+    batch = pa.record_batch([pa.array(range(len(docs))), pa.array([" ".join(d) for d in docs])], names=["doc_id", "text"])
+    mers, there, _ = passages.seeds(hashes, n, passages.frequent([batch], (3, 4), 128), 4, 50, 0.8)
+    of = np.repeat(np.arange(len(docs)), n)
+    seen = (mers >> np.uint64(20)).astype(np.uint32)
+    assert sum(len(part[0]) for part in passages.seed_matches(seen, of[there], there.astype(np.int32))) < 100  # 200,000 with the line's seeds
+    assert {r[:2] for r in passages_of(spark, docs)} == {(150, 50)}
+
+
+def test_copies_and_covered_documents(spark):
+    rng = random.Random(17)
+    words = lambda n: [f"v{rng.randint(0, 50000)}" for _ in range(n)]
+    base, other = words(120), words(80)
+    near = lambda: [w if 30 < i < 90 and rng.random() < 0.04 else v for i, (w, v) in enumerate(zip(words(120), base))]
+    docs = [other + words(20), base, *(near() for _ in range(140)), base[:110] + words(3) + other[:60]]
+    docs += [docs[0], docs[2], docs[-1], docs[2]]
+    got = sorted(passages_of(spark, docs))
+    assert [r for r in got if r[0] < 142] == [(i, 1, 0, 120) for i in range(2, 142)]
+    assert [r for r in got if r[0] == 142] == [(142, 0, 113, 173), (142, 1, 0, 110)]
+    assert [r for r in got if r[0] > 142] == [(143, 0, 0, 100), (144, 1, 0, 120), (145, 0, 113, 173), (145, 1, 0, 110), (145, 142, 0, 173), (146, 1, 0, 120)]
+
+
 @pytest.mark.parametrize("every", [25, 10, 8, 6, 5])
 def test_fuzzy_passages_of_every_similarity(spark, every):
     rng = random.Random(every)
