@@ -287,6 +287,21 @@ def test_runs_of_one_word_meet_from_their_ends(spark):
     assert passages_of(spark, docs) == [(1, 0, 30, 290)]
 
 
+def test_matches_are_packed_by_documents():
+    rng = np.random.default_rng(3)
+    doc, at = np.repeat(np.arange(60), 400) * 1000, np.tile(np.arange(400), 60).astype(np.int32) + np.repeat(rng.integers(0, 50, 60), 400).astype(np.int32)
+    seed = np.tile(rng.integers(1 << 24, 1 << 44, 400), 60).astype(np.uint64)  # near copies of a text
+    kind, back = rng.integers(1, 3, len(doc)).astype(np.uint8), np.zeros(len(doc), np.int64)
+    bucket = (seed >> np.uint64(32)).astype(np.uint16)
+    order = np.lexsort((at, doc, bucket))
+    sown = passages._blocks(bucket[order], [seed[order].astype(np.uint32), doc[order], at[order], kind[order], back[order]], passages.seed_block)
+    blocks = [b for batch in passages._matched(None, 6)(iter([sown])) for b in batch.column(1)]
+    got = Counter(m for b in blocks for m in zip(*(c.tolist() for c in passages.block_matches(b.as_buffer()))))
+    pairs = [(d, d - o, int(x), int(x - y), int(k)) for part in passages.seed_matches(seed, doc, at, kind=kind) for d, o, x, y, k in zip(*part)]
+    assert got == Counter(pairs) and len(pairs) == 400 * 60 * 59 // 2
+    assert sum(len(b.as_py()) for b in blocks) < len(pairs)  # 25 bytes a match before, four of them after the shuffle's compression
+
+
 def test_lines_of_many_documents(spark):
     rng = random.Random(16)
     words = lambda n: [f"v{rng.randint(0, 50000)}" for _ in range(n)]
