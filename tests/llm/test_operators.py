@@ -593,6 +593,32 @@ def test_long_words():
         assert b.units([u])[0][0] == " ".join(map(str, e.encode_ordinary(u))).encode()
 
 
+def test_a_round_costs_a_row_a_word():
+    import tiktoken
+
+    b = bpe.Bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=b.ranks, special_tokens={})
+    rng = random.Random(10)
+    words = {"".join(rng.choices(letters, k=n)) for letters in ("ab", "ethndro", "äéß中x") for n in (*range(2, 40), 66, 100) for _ in range(9)}
+    words = sorted(w for w in words if w.encode() not in b.ranks and len(w.encode()) <= bpe.LONG)
+    ids = [e.encode_ordinary(w) for w in words]
+    assert b.words([w.encode() for w in words]) == [(" ".join(map(str, x)).encode(), w.encode(), len(x)) for w, x in zip(words, ids)]
+    rows = []
+    whole, sql = b.db, bpe.ONE_PAIR[: bpe.ONE_PAIR.rindex("SELECT")] + "SELECT count(*) FROM step"
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(whole, name)
+
+        def sql(self, query):
+            rows.append(whole.sql(sql).fetchall()[0][0])
+            return whole.sql(query)
+
+    b.db = Counting()
+    b.words([w.encode() for w in words])
+    assert rows == [sum(len(w.encode()) - len(x) + 1 for w, x in zip(words, ids))]  # before: a row a token and round
+
+
 def test_texts_are_encoded_in_bounded_slices(monkeypatch):
     sizes, at_once = [], []
     units_of, encode = bpe.units_of, bpe.Bpe.words

@@ -9,11 +9,12 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release, slices
+from .shared import raw, release, slices
 from .units import Encoded, units_of
 
 #: Words of more bytes contract every place of their lowest pair at once; the others one place a round.
@@ -22,36 +23,30 @@ LONG = 200
 #: Words or units that are encoded at once, and bytes of text: what a worker needs besides its caches is in proportion.
 AT_ONCE, SLICE = 20_000, 3 << 20
 
-#: One round over rows (word, place, token, the token after it, and their rank in the merge table): each word's leftmost
-#: pair of minimum rank becomes one token, and only the two pairs that this changes are looked up again. Words without
-#: a pair leave. key: rank and place in one number.
-ONE_PAIR = """
-WITH RECURSIVE step(round, word, place, token, next_place, next_token, rank) AS (
-    SELECT 0, word, place, token, next_place, next_token, rank
-    FROM first_tokens LEFT JOIN merges ON token = l AND next_token = r WHERE NOT long
-  UNION ALL
-    SELECT s.round + 1, s.word, s.place,
-           CASE WHEN s.place = b.place THEN b.rank ELSE s.token END,
-           CASE WHEN s.place = b.place THEN b.after_place ELSE s.next_place END,
-           CASE WHEN s.place = b.place THEN b.after_token WHEN s.next_place = b.place THEN b.rank ELSE s.next_token END,
-           CASE WHEN s.place = b.place THEN b.after_rank WHEN s.next_place = b.place THEN m.rank ELSE s.rank END
-    FROM step s
-    JOIN (SELECT g.word, g.rank, g.place, g.next_place, a.next_place AS after_place, a.next_token AS after_token, m.rank AS after_rank
-          FROM (SELECT word, (min(key) >> 40)::INTEGER AS rank, min(key) & 1099511627775 AS place, arg_min(next_place, key) AS next_place
-                FROM (SELECT word, next_place, (rank::BIGINT << 40) + place AS key FROM step WHERE rank IS NOT NULL) GROUP BY word) g
-          JOIN step a ON a.place = g.next_place
-          LEFT JOIN merges m ON m.l = g.rank AND m.r = a.next_token) b ON s.word = b.word
-    LEFT JOIN merges m ON m.l = CASE WHEN s.next_place = b.place THEN s.token END AND m.r = b.rank
-    WHERE s.place <> b.next_place)
-SELECT word, string_agg(token, ' ' ORDER BY place) AS ids, string_agg(piece, '' ORDER BY place) AS pieces, count(*) AS n
-FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, round) JOIN pieces USING (token)
-GROUP BY word"""
+#: No pair; no token stands at both ends of a word.
+NONE, END = 1 << 30, -1
 
-#: The same with all places of a word's lowest pair at once, each second one in a run of overlapping pairs. Nothing
+#: One round over words (tokens between two ENDs; ranks of each two neighbours, NONE: not in the merge table): the leftmost
+#: pair of minimum rank becomes one token, and only the two pairs that this changes are looked up again. Words without a
+#: pair leave.
+ONE_PAIR = f"""
+WITH RECURSIVE step(word, tokens, ranks, rank, i) AS (
+    SELECT word, tokens, ranks, list_min(ranks), list_position(ranks, list_min(ranks)) FROM first_words
+  UNION ALL
+    SELECT word, tokens, ranks, list_min(ranks), list_position(ranks, list_min(ranks))
+    FROM (SELECT word, s.tokens[1:i - 1] || [s.rank] || s.tokens[i + 2:] AS tokens,
+                 s.ranks[1:i - 2] || [coalesce(a.rank, {NONE}), coalesce(b.rank, {NONE})] || s.ranks[i + 2:] AS ranks
+          FROM step s
+          LEFT JOIN merges a ON a.l = s.tokens[i - 1] AND a.r = s.rank
+          LEFT JOIN merges b ON b.l = s.rank AND b.r = s.tokens[i + 2]
+          WHERE s.rank < {NONE}))
+SELECT word, tokens[2:len(tokens) - 1] AS tokens FROM step WHERE rank = {NONE}"""
+
+#: The same over rows (word, place, token) with all places of a word's lowest pair at once, each second one in a run of overlapping pairs. Nothing
 #: differs where every pair with the new token has a higher rank; of the other pairs (alone), only the leftmost.
 ALL_PAIRS = """
 WITH RECURSIVE step(round, word, place, token) AS (
-    SELECT 0, word, place, token FROM first_tokens WHERE long
+    SELECT 0, word, place, token FROM first_tokens
   UNION ALL
     SELECT round + 1, word, place, CASE WHEN hit THEN rank ELSE token END
     FROM (SELECT *, lag(hit) OVER (ORDER BY place) AS eaten
@@ -85,40 +80,61 @@ class Bpe:
         spellings = pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "piece": pa.array([p.hex() for p in self.ranks])})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM pairs")
         self.db.execute("CREATE TABLE pieces AS SELECT * FROM spellings")
+        byte = {int(t): i for i, t in enumerate(self.bytes)}
+        self.pairs = np.full((257, 257), NONE, np.int32)  # ranks of two bytes, 256: an END
+        for a, b, k in rows:
+            if a in byte and b in byte:
+                self.pairs[byte[a], byte[b]] = k
+        by_id = {k: p for p, k in self.ranks.items()}
+        ids = range(max(by_id) + 1)
+        self.spelling, self.decimal = pa.array([by_id.get(k) for k in ids], pa.binary()), pa.array([b"%d" % k for k in ids], pa.binary())
 
     def words(self, words: list[bytes]) -> list[tuple[bytes, bytes, int]]:
         """Decimal ids, decoded bytes and number of ids of each pre-token."""
         out: list = [None] * len(words)
-        spelled, whole, tokens = [], [], []
+        spelled, long = [], []
         for i, w in enumerate(words):
             rank = self.ranks.get(w)
-            if rank is None:
-                spelled.append(i)
-            else:  # a piece of the vocabulary is its own token
-                whole.append(i)
-                tokens.append(rank)
-        if whole:
-            singles = pa.table({"word": np.array(whole, np.int32), "token": np.array(tokens, np.int32)})  # noqa: F841
-            got = self.db.sql("SELECT word, token, piece FROM singles JOIN pieces USING (token)").to_arrow_table()
-            for w, token, piece in zip(*(c.to_pylist() for c in got.columns)):
-                back = bytes.fromhex(piece)
-                out[w] = (b"%d" % token, words[w] if back == words[w] else back, 1)
+            if rank is not None:  # a piece of the vocabulary is its own token
+                back = self.spelling[rank].as_py()
+                out[i] = (b"%d" % rank, w if back == w else back, 1)
+            else:
+                (long if len(w) > LONG else spelled).append(i)
         if spelled:
-            lengths = np.array([len(words[i]) for i in spelled])
-            data = np.frombuffer(b"".join(words[i] for i in spelled), np.uint8)
-            token, place, last = self.bytes[data], np.arange(len(data), dtype=np.int64), np.zeros(len(data), bool)
-            last[np.cumsum(lengths) - 1] = True
-            first_tokens = pa.table({"word": np.repeat(np.array(spelled, np.int32), lengths), "place": place, "token": token, "next_place": pa.array(place + 1, mask=last), "next_token": pa.array(np.append(token[1:], 0), mask=last), "long": np.repeat(lengths > LONG, lengths)})
+            for w, ids, back, n in self._contracted([words[i] for i in spelled]):
+                i = spelled[w]
+                out[i] = (ids, words[i] if back == words[i] else back, n)
+        if long:
+            lengths = np.array([len(words[i]) for i in long])
+            data = np.frombuffer(b"".join(words[i] for i in long), np.uint8)
+            first_tokens = pa.table({"word": np.repeat(np.array(long, np.int32), lengths), "place": np.arange(len(data), dtype=np.int64), "token": self.bytes[data]})
             self.db.register("first_tokens", first_tokens)
-            for query, there in ((ONE_PAIR, (lengths <= LONG).any()), (ALL_PAIRS, (lengths > LONG).any())):
-                if there:
-                    got = self.db.sql(query).to_arrow_table()
-                    for w, ids, pieces, n in zip(*(c.to_pylist() for c in got.columns)):
-                        back = bytes.fromhex(pieces)
-                        out[w] = (ids.encode(), words[w] if back == words[w] else back, n)
+            got = self.db.sql(ALL_PAIRS).to_arrow_table()
+            for w, ids, pieces, n in zip(*(c.to_pylist() for c in got.columns)):
+                back = bytes.fromhex(pieces)
+                out[w] = (ids.encode(), words[w] if back == words[w] else back, n)
             self.db.unregister("first_tokens")
         return out
 
+    def _contracted(self, words: list[bytes]) -> Iterator[tuple[int, bytes, bytes, int]]:
+        """Number, decimal ids, decoded bytes and number of ids of each word, one pair a round."""
+        lengths = np.array([len(w) for w in words])
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(lengths + 2)
+        codes = np.full(ends[-1], 256)
+        codes[np.arange(len(data)) + np.repeat(2 * np.arange(len(words)) + 1, lengths)] = data
+        tokens = np.append(self.bytes, np.int32(END))[codes]
+        ranks = np.delete(np.append(self.pairs[codes[:-1], codes[1:]], np.int32(NONE)), ends - 1)
+        offsets = np.append(0, ends)
+        lists = (pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(v)) for o, v in ((offsets, tokens), (offsets - np.arange(len(offsets)), ranks)))
+        self.db.register("first_words", pa.table([pa.array(np.arange(len(words), dtype=np.int32)), *lists], names=["word", "tokens", "ranks"]))
+        got = self.db.sql(ONE_PAIR).to_arrow_table().combine_chunks()
+        self.db.unregister("first_words")
+        ids = got.column(1).combine_chunks()
+        offsets, tokens = ids.offsets, ids.values
+        names, pieces = (pc.binary_join(pa.ListArray.from_arrays(offsets, told.take(tokens)), separator) for told, separator in ((self.decimal, b" "), (self.spelling, b"")))
+        return zip(got.column(0).to_pylist(), names.to_pylist(), pieces.to_pylist(), np.diff(offsets).tolist())
+
     def units(self, units: list[str]) -> list[tuple[bytes, bytes, int]]:
         """Decimal ids, decoded bytes and number of ids of each unit."""
         of = [[m.encode() for m in self.pattern.findall(u)] for u in units]
@@ -139,15 +155,13 @@ def _encoder(path: str, pattern: str):
         for batch in (part for whole in batches for part in slices(whole, limit=SLICE)):
             counts, codes, strings = units_of(batch.column(1))
             values = known.values(strings.to_pylist())
-            ids, back = np.empty(len(values), object), np.empty(len(values), object)
-            ids[:], back[:] = [v[0] for v in values], [v[1] for v in values]
             sizes = np.array([v[2] for v in values], np.int64)
             ends = np.cumsum(counts)
-            hashes: list[list[str]] = [[], []]
-            for a, z in zip((ends - counts).tolist(), ends.tolist()):
-                own = codes[a:z]
-                hashes[0].append(hashlib.sha256(b" ".join(ids[own])).hexdigest())
-                hashes[1].append(hashlib.sha256(b"".join(back[own])).hexdigest())
+            hashes: list[list[str]] = []
+            for parts, cut in (([v[0] + b" " if v[2] else b"" for v in values], 1), ([v[1] for v in values], 0)):
+                at, data = raw(pa.array(parts, pa.large_binary()).take(pa.array(codes)))
+                at = np.asarray(at)
+                hashes.append([hashlib.sha256(data[a : max(a, z - cut)]).hexdigest() for a, z in zip(at[ends - counts].tolist(), at[ends].tolist())])
             total = np.append(0, np.cumsum(sizes[codes])) if len(codes) else np.zeros(1, np.int64)
             yield pa.record_batch([batch.column(0), pa.array(total[ends] - total[ends - counts]), pa.array(hashes[0]), pa.array(hashes[1])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             release()
