@@ -1,10 +1,13 @@
 """The ten operators against brute force on small fixtures, with the cases that data can hold."""
 
 import base64
+import glob
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +18,7 @@ import xxhash
 
 import public_tokenizers
 from tests.llm import brute
-from textloom.llm import bpe, exact_dedup, line_crf, lm, mixing, passages, pii, quality, simhash, token_files, units
+from textloom.llm import bpe, exact_dedup, line_crf, lm, mixing, passages, pii, quality, shared, simhash, token_files, units
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -302,6 +305,44 @@ def test_matches_are_packed_by_documents():
     assert sum(len(b.as_py()) for b in blocks) < len(pairs)  # 25 bytes a match before, four of them after the shuffle's compression
 
 
+def test_rounds_of_matches_are_all_matches(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    doc, at = np.repeat(np.arange(40), 50), np.tile(np.arange(50), 40).astype(np.int32)
+    seed = np.where(at < 20, 7, rng.integers(0, 30, len(doc))).astype(np.uint32)  # with long runs of one word
+    every = lambda *turn: [Counter(m for part in passages.seed_matches(seed, doc, at, turn_of=x) for m in zip(*(c.tolist() for c in part))) for x in turn]
+    (whole,), (one, two) = every((0, 1)), every((0, 2), (1, 2))
+    assert one + two == whole and {m[0] for m in one}.isdisjoint(m[0] for m in two) and max(one.total(), two.total()) < 0.8 * whole.total()
+    rng = random.Random(16)
+    words = lambda n: [f"v{rng.randint(0, 50000)}" for _ in range(n)]
+    both = words(80)
+    docs = [words(20) + both[i : i + 60] + words(20) for i in range(0, 20, 2)]
+    once = sorted(passages_of(spark, docs))
+    monkeypatch.setattr(passages, "MANY", 1)
+    assert sorted(passages_of(spark, docs)) == once and len(once) >= 9
+
+
+def test_seeds_are_packed_by_blocks():
+    rng = np.random.default_rng(4)
+    n = 300  # as 6 MB of text give a bucket
+    doc, at = np.sort(rng.integers(0, 2500, n)) + 7_000_000, rng.integers(0, 400, n).astype(np.int32)
+    columns = [rng.integers(0, 1 << 32, n).astype(np.uint32), doc, at, np.full(n, 100, np.uint8), np.zeros(n, np.int64)]
+    block = passages.seed_block(*columns)
+    assert len(block) < 8 * n  # 25 bytes a seed before
+    assert all((x == y).all() for x, y in zip(passages.block_seeds(pa.py_buffer(block)), columns))
+
+
+def test_shuffles_of_written_tables_are_forgotten(spark):
+    files = lambda: {p for p in glob.glob(f"{folder}/*/shuffle_*")}
+    made = spark.range(1000).repartition(3, "id")
+    folder = os.path.dirname(os.path.dirname(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getFile("x").getPath()))
+    before = files()
+    got = shared.written(made, "forgotten", forget=True)
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and got.count() == 1000 and spark.conf.get(shared.CLEANUP) == "false"
+
+
 def test_lines_of_many_documents(spark):
     rng = random.Random(16)
     words = lambda n: [f"v{rng.randint(0, 50000)}" for _ in range(n)]
