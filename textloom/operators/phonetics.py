@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -64,13 +65,16 @@ def repetition_index(ws: DataFrame, sounds: str, window: int = 3, by: str = "doc
     hits = pairs.withColumn("hit", F.when(F.col("next").isNotNull(), F.greatest(reach - begin + 1, F.lit(0))).otherwise(0))
     counts = hits.groupBy(by, "sound").agg(F.sum("hit").alias("seen"), F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
     x, c = F.col("n").cast("double"), F.col("c").cast("double")
-    def choose(m: Column, k: int) -> Column:
-        out = F.lit(1.0)
+    def choose(m: Column, k: int, times: Column = F.lit(1.0)) -> Column:
+        # one division of whole numbers, so that a sound that can't recur has an expectation of exactly 0
         for i in range(k):
-            out = out * F.greatest(m - i, F.lit(0.0)) / (k - i)
-        return out
-    p = 1 - F.try_divide(choose(x - c, window) + c * choose(x - c, window - 1), choose(x, window))
-    return counts.groupBy(by).agg(ratio(F.sum("seen"), F.sum(p * (F.col("n") - window + 1)), None).alias("repetition_index"))
+            times = times * F.greatest(m - i, F.lit(0.0))
+        return times / math.factorial(k)
+    p = 1 - F.try_divide(choose(x - c, window) + choose(x - c, window - 1, c), choose(x, window))
+    # summed in the order of the sounds, whatever order the rows came in
+    expected = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("sound", ((F.col("n") - window + 1) * p).alias("e")))), lambda s: s["e"]), F.lit(0.0), lambda a, e: a + F.coalesce(e, F.lit(0.0)))
+    g = counts.groupBy(by).agg(F.sum("seen").alias("seen"), expected.alias("expected"))
+    return g.select(by, ratio(F.col("seen"), F.when(F.col("expected") > 0, F.col("expected")), None).alias("repetition_index"))
 
 
 def syllable_stats(syllables: DataFrame, vowels: str = VOWELS, by: str = "doc_id") -> DataFrame:
