@@ -27,3 +27,11 @@ def test_rounding_is_that_of_the_sql(spark):
 def test_sounds_that_cannot_recur(spark):
     for n in (3, 49, 59):  # one word of n has the sound
         assert math.isnan(phonetics.repetition_index(listed(spark, ["b"] + ["x"] * (n - 1)), "b").first().repetition_index)
+
+
+def test_partitions_of_documents_grow_with_the_table(spark, monkeypatch):
+    from textloom.operators import words
+
+    monkeypatch.setattr(words, "PART_BYTES", 1 << 14, raising=False)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert words.by_document(docs).rdd.getNumPartitions() > 16 and words.by_document(docs).count() == 200
