@@ -35,3 +35,40 @@ def test_partitions_of_documents_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(words, "PART_BYTES", 1 << 14, raising=False)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert words.by_document(docs).rdd.getNumPartitions() > 16 and words.by_document(docs).count() == 200
+
+
+def test_places_of_words_are_found_without_a_shuffle(spark):
+    from textloom.operators import spans
+
+    docs = spark.createDataFrame([(1, "Éa __ b-c, d"), (2, ""), (3, "x")], "doc_id long, text string")
+    got = [tuple(r) for r in spans.token_spans(docs).where("doc_id = 1").orderBy("pos").collect()]
+    assert [x[1:] for x in got] == [(0, 0, 2, "Éa"), (1, 6, 7, "b"), (2, 8, 9, "c"), (3, 11, 12, "d")]
+    assert [r.gap for r in spans.gaps(docs).orderBy("pos").collect()] == [" __ ", "-", ", "]
+    assert "Exchange" not in spans.gaps(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trigrams_are_counted_without_a_row_each(spark):
+    from textloom.operators.words import char_ngram_counts, char_ngrams, frequencies
+
+    docs = spark.createDataFrame([(1, "abab  abc\U0001f600é"), (2, "ab"), (3, None), (4, "abc")], "doc_id long, text string")
+    for n in (1, 3, 30):
+        want = {r.ngram: r.f for r in frequencies(char_ngrams(docs, n), [], "ngram").collect()}
+        assert {r.ngram: r.f for r in char_ngram_counts(docs, n).collect()} == want
+    assert "Generate" not in char_ngram_counts(docs, 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bootstrap_does_not_hang_on_the_order_of_rows(spark):
+    from textloom.operators.compare import bootstrap_median_diff
+
+    rows = [("x", "AB"[i % 2], str(i), float((i * 37) % 101)) for i in range(80)]
+    one, two = (bootstrap_median_diff(spark.createDataFrame(r, "feature string, corpus string, text string, value double").coalesce(1), n_bootstrap=50).first() for r in (rows, rows[::-1]))
+    assert one == two and one.low < one.high
+
+
+def test_word_tree_is_counted_in_one_pass(spark):
+    from textloom.operators.assembly import word_tree
+
+    ws = listed(spark, "a b c a b d x a b c that_x b".split())
+    assert {(r.n, r.ngram): r.f for r in word_tree(ws, "a", 3, 2).collect()} == {(2, "a_b"): 3, (3, "a_b_c"): 2, (3, "a_b_d"): 1}
+    assert {(r.n, r.ngram): r.f for r in word_tree(ws, "b", 3, 1, forward=False).collect()} == {(2, "a_b"): 3, (3, "c_a_b"): 1}
+    assert {r.ngram for r in word_tree(ws, "that", 2).collect()} == {"that_x_b"}
