@@ -72,3 +72,16 @@ def test_word_tree_is_counted_in_one_pass(spark):
     assert {(r.n, r.ngram): r.f for r in word_tree(ws, "a", 3, 2).collect()} == {(2, "a_b"): 3, (3, "a_b_c"): 2, (3, "a_b_d"): 1}
     assert {(r.n, r.ngram): r.f for r in word_tree(ws, "b", 3, 1, forward=False).collect()} == {(2, "a_b"): 3, (3, "c_a_b"): 1}
     assert {r.ngram for r in word_tree(ws, "that", 2).collect()} == {"that_x_b"}
+
+
+def test_pairs_are_counted_as_numbers(spark):
+    from collections import Counter
+
+    from textloom.operators import corpus
+
+    docs = ["a b a c b", "c", "", "b a b a a c d", "d d"]
+    ws = spark.createDataFrame([(i, p, w) for i, d in enumerate(docs) for p, w in enumerate(d.split())], "doc_id long, pos int, word string")
+    want = Counter((x, y) for d in docs for i, x in enumerate(d.split()) for y in d.split()[i + 1 : i + 4])
+    found = corpus.collocations(ws, 3, "dice", 1)
+    assert {(r.left, r.right): r.freq for r in found.collect()} == want
+    assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
