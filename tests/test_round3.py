@@ -85,3 +85,14 @@ def test_pairs_are_counted_as_numbers(spark):
     found = corpus.collocations(ws, 3, "dice", 1)
     assert {(r.left, r.right): r.freq for r in found.collect()} == want
     assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_triples_go_through_punctuation_to_the_root(spark):
+    from textloom.operators import syntax
+
+    kind = "doc_id long, sent_id int, idx int, form string, upos string, head int, deprel string"
+    rows = [(1, 0, 1, "red", "ADJ", 2, "amod"), (1, 0, 2, "-", "PUNCT", 3, "punct"), (1, 0, 3, "house", "NOUN", 0, "root"), (1, 0, 4, "x", "X", 5, "dep"), (1, 0, 5, "(", "PUNCT", 6, "punct"), (1, 0, 6, ")", "PUNCT", 5, "punct")]
+    rows += [(2, 0, 1, "it", "PRON", 2, "nsubj:pass"), (2, 0, 2, "is", None, 0, "root"), (2, 1, 1, "y", "X", 2, "dep"), (2, 1, 2, ",", "PUNCT", 1, "punct")]
+    dep = spark.createDataFrame(rows, kind).withColumn("feats", F.lit(None).cast("string"))
+    got = {tuple(r) for r in syntax.dependency_triples(dep).collect()}
+    assert got == {(1, "NOUN", "amod", "ADJ", 1), (1, "", "root", "NOUN", 1), (1, "", "root", "X", 1), (2, "", "nsubj", "PRON", 1), (2, "", "root", "", 1), (2, "", "root", "X", 1)}
