@@ -96,3 +96,18 @@ def test_triples_go_through_punctuation_to_the_root(spark):
     dep = spark.createDataFrame(rows, kind).withColumn("feats", F.lit(None).cast("string"))
     got = {tuple(r) for r in syntax.dependency_triples(dep).collect()}
     assert got == {(1, "NOUN", "amod", "ADJ", 1), (1, "", "root", "NOUN", 1), (1, "", "root", "X", 1), (2, "", "nsubj", "PRON", 1), (2, "", "root", "", 1), (2, "", "root", "X", 1)}
+
+
+def test_pieces_without_a_word_stay_with_their_sentence(spark):
+    import __spark_entry__ as entry
+
+    found = ["...  ?! He said \"Yes!\" (Then.) ?! --  He left…\n", " ?! \n\n One. Two! ... (3.)  ", "Hello. ?! Bye.", ""]
+    want = [["...  ?! He said \"Yes!\"", "(Then.) ?!", "--  He left…"], ["?!", "One.", "Two! ...", "(3.)"], ["Hello. ?!", "Bye."], []]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(found)], "doc_id long, text string")
+    got = [r[0] for r in docs.orderBy("doc_id").select(as_sentences(F.col("text"), wordless=True)).collect()]
+    assert got == want
+    assert docs.select(as_sentences(F.col("text"))).count() == 4 and len(docs.where("doc_id = 1").select(as_sentences(F.col("text"))).first()[0]) == 3
+    c = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841  (DuckDB reads it)
+    rows = c.execute(f"SELECT doc_id, sent_id, n_chars FROM ({entry.oracle_sql()['sentence_table']}) ORDER BY 1, 2").fetchall()
+    assert rows == [(d, i, len(s)) for d, w in enumerate(want) for i, s in enumerate(w)]
