@@ -65,7 +65,7 @@ def test_bootstrap_does_not_hang_on_the_order_of_rows(spark):
     assert one == two and one.low < one.high
 
 
-def test_word_tree_is_counted_in_one_pass(spark):
+def test_word_tree_by_its_longest_runs(spark):
     from textloom.operators.assembly import word_tree
 
     ws = listed(spark, "a b c a b d x a b c that_x b".split())
